@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,6 +35,17 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once their plans are garbage in the JVM.
+
+    The first round frees what Python held, the second what that held in turn.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

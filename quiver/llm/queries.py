@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quiver.llm import linededup, simhash
+from quiver.llm import linededup, ordinal, packing, pseudonym, simhash
 from quiver.llm.common import table
 
 
@@ -14,12 +15,43 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+#: Documents are kept whose chance of the highest grade is so large.
+LEAST_TAIL = 0.5
+
+
+def graded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with expected_grade, tail_probability and kept, by a model fitted on the labelled ones among them."""
+    model = ordinal.graded(docs, table(spark, sf_dir, "labels"))
+    return ordinal.score(docs, model, "text").withColumn("kept", F.col("tail_probability") >= LEAST_TAIL)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return graded(spark, docs, sf_dir).select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
+#: Stands for a secret that a deployment takes from its own store.
+PSEUDONYM_KEY = "example key"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonym.pseudonymize(docs, PSEUDONYM_KEY, "text", count_col="n_finds")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
 }
 
