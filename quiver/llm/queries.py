@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm import conversations, linededup, ordinal, packing, piecewise, pseudonym, rules, simhash, sitetree
+from quiver.llm import conversations, linededup, ordinal, packing, piecewise, pseudonym, rules, simhash, sitetree, subwords
 from quiver.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.segmentation_report(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chat_formatting": op2_chat_formatting,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
+    "op10_subwords": op10_subwords,
 }
 
 ORACLES: dict[str, str] = {
