@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from quiver.functions import filters as P
 from quiver.operators import hnsw, knn, lww, quantize
+from quiver.plans.logs import logger
 from quiver.plans.model import LOG_SCHEMA, Config
+from quiver.sources import wire
 from quiver.sources.requests import entries_frame
 
 _ORDER = ("seq", "pos")
@@ -242,6 +244,7 @@ class Engine:
         except (ValueError, KeyError, TypeError) as e:
             status, said = 400, str(e)
         self.counters["errors"] += 1
+        logger().error(said, extra={"status": status})
         return status, {"error": said}
 
     def _answer(self, method: str, parts: list[str], data: dict[str, Any]) -> tuple[int, Any]:
@@ -280,6 +283,24 @@ class Engine:
                 return 200, {"results": [{"id": r.id, "distance": r.distance, "metadata": {m: next(v for v in t if v is not None) for m, t in (r.meta or {}).items()}} for r in hits.orderBy("rank").collect()]}
         return 404, {"error": "no such path"}
 
+    def search_message(self, data: bytes) -> bytes:
+        """Answer a binary search request."""
+        m = wire.decode("SearchRequest", data)
+        q = self.spark.createDataFrame([(0, m["query"])], "qid bigint, q array<float>")
+        hits = self.namespace(m["namespace"]).search(q, m["k"], wire.filter_of(m.get("filter")), ef=m["ef"]).orderBy("rank").collect()
+        plain = [{"id": r.id, "distance": r.distance, "metadata": {k: next(v for v in t if v is not None) for k, t in (r.meta or {}).items()}} for r in hits]
+        return wire.encode("SearchResponse", {"hits": plain})
+
+    def ingest_messages(self, messages: DataFrame, col: str = "value", batch: bool = False) -> int:
+        """Upsert entries from a column of binary upsert requests, each into the collection that it names."""
+        rows = wire.entries_frame(messages, col, batch).persist()
+        try:
+            names = [r.namespace for r in rows.select("namespace").distinct().collect()]  # as many as there are collections
+            found = {n: self.namespace(n) for n in names}
+            return sum(ns.upsert_frame(rows.where(F.col("namespace") == n).drop("namespace")) for n, ns in found.items())
+        finally:
+            rows.unpersist()
+
     def ingest_json(self, name: str, path: str) -> int:
         """Upsert entries from files of JSON lines, one entry or one ``{"entries": [...]}`` a line."""
         return self.namespace(name).upsert_frame(entries_frame(self.spark.read.text(path)))
