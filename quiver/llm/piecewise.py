@@ -12,8 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import per_batch
-
 WINDOW = 7
 LENGTH = 64
 LEAST_BLOCK = 3
@@ -178,8 +176,7 @@ def edited_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     wanted = spark.createDataFrame(to or [(0, None)], "part int, first long").where(F.lit(bool(to)))
     follow = src.join(F.broadcast(wanted), F.col("id").eqNullSafe(F.col("first"))).select("id", "text", "part")
     both = dealt.select("id", "text", "part", F.lit(0).alias("after")).unionByName(follow.select("id", "text", "part", F.lit(1).alias("after")))
-    n = max(1, len(firsts))
-    ranged = both.repartition(n, "part").sortWithinPartitions("part", "after", "id", "text")
+    ranged = both.repartitionById(max(1, len(cuts) + 1), "part").sortWithinPartitions("after", "id", "text")
 
     def run(batches):
         import hashlib
