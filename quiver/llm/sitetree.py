@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import per_batch
+from quiver.llm.common import materialize, per_batch
 
 #: Fixed values of the markup language: elements without content, with raw text, that break lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +36,9 @@ MAIN_TAGS = frozenset({"article", "main"})
 #: Nodes less important than this go, where pages are enough to tell.
 LEAST_IMPORTANCE = 0.25
 LEAST_PAGES = 5
+#: Dull nodes that are sent to every task at most (8 bytes each and their host's name); tasks that share a host beyond.
+BROADCAST_NODES = 200_000
+SALTS = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -219,18 +222,24 @@ def host_of(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """Rows (id_col, url_col, text, n_chars): the main text of every page, empty if there is none.
 
     Null html counts as empty; pages without a host form one site. Repeated rows come back repeated; a page of any
     length is parsed whole. Other columns are ignored; an empty table gives none.
 
-    Only nodes that are dull travel to the pages, by a join on the host, as one sorted array a host: its size is that of
-    the site's template, not of its pages.
+    Only nodes that are dull travel to the pages: as one array a host, to every task while they are ``BROADCAST_NODES``
+    or fewer in all, else by a join on host and salt, so that no host's pages meet in one task.
     """
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    dull = importance(src, "host", "html").where(F.col("importance") < LEAST_IMPORTANCE).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("dull"))
-    wide = src.join(dull, "host", "left").select("id", "url", "html", "dull")
+    found, _ = materialize(importance(src, "host", "html").where(F.col("importance") < LEAST_IMPORTANCE).select("host", "node"), "dull")
+    dull = found.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("dull"))
+    if found.count() <= broadcast_nodes:
+        wide = src.join(F.broadcast(dull), "host", "left")
+    else:
+        salted = src.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)))
+        wide = salted.join(dull.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
+    wide = wide.select("id", "url", "html", "dull")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(h.as_py(), frozenset(d.as_py() or ())) for h, d in zip(batch.column(2), batch.column(3), strict=True)]
