@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: White space of all word rules here: space and U+0009 to U+000D. ``bytes.split()`` cuts at exactly these.
-WORD = r"[^\x20\x09-\x0D]+"
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quiver-{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quiver-{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_tidy, spark)
+    _written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+_written: list[str] = []
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Delete this driver's tables as it ends. Results are read from them until then; a stopped session leaves them."""
+    with contextlib.suppress(Exception):
+        for path in _written:
+            discard(spark, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -52,10 +64,6 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def text_or_empty(col: str | Column) -> Column:
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-
-
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]) -> Callable:
     """Lift a function of one Arrow batch to ``mapInArrow``; an empty input stays empty."""
 

@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import per_batch
-
 #: Fixed values of the base rule.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
