@@ -127,9 +127,11 @@ def build_index(vectors: DataFrame, metric: str, segment_rows: int = 10_000, m:
 
 def knn_hnsw(index: DataFrame, queries: DataFrame, k: int, metric: str, ef: int = 50) -> DataFrame:
     """Rows (qid, rank, id, distance): each segment's graph is searched for each query, and the best k are merged."""
+    return K.in_parts(queries, lambda part: _knn_hnsw(index, part, k, metric, ef))
+
+
+def _knn_hnsw(index: DataFrame, queries: DataFrame, k: int, metric: str, ef: int) -> DataFrame:
     qids, q = K.query_matrix(queries)
-    if q.nbytes > K.BROADCAST_BYTES:
-        raise ValueError("too many queries to send to every task: search them in parts")
 
     def search(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("node")

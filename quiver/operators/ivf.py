@@ -40,11 +40,14 @@ def knn_ivf(cells: DataFrame, queries: DataFrame, k: int, metric: str, centres:
     """Rows (qid, rank, id, distance): each query against the rows of the ``probes`` cells nearest to it.
 
     Probed cells are told by a literal list for pruning at the scan, then by a join on the cell. Approximate: a row in a
-    cell that isn't probed can't be hit. Queries are few and broadcast.
+    cell that isn't probed can't be hit. Query sets beyond
+    ``knn.BROADCAST_BYTES`` are searched in parts.
     """
+    return K.in_parts(queries, lambda part: _knn_ivf(cells, part, k, metric, centres, probes))
+
+
+def _knn_ivf(cells: DataFrame, queries: DataFrame, k: int, metric: str, centres: np.ndarray, probes: int) -> DataFrame:
     qids, q = K.query_matrix(queries)
-    if q.nbytes > K.BROADCAST_BYTES:
-        raise ValueError("too many queries to send to every task: search them in parts")
     near = D.kernel("l2")(q, centres)
     chosen = np.argsort(near, axis=1, kind="stable")[:, :probes] if len(q) else np.zeros((0, 0), int)
     rows = [(i, v.tolist(), int(c)) for i, v, cs in zip(qids, q, chosen, strict=True) for c in cs]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,15 +33,42 @@ def _check_k(k: int) -> None:
         raise ValueError("k is negative")
 
 
+def query_bytes(queries: DataFrame) -> int:
+    """Bytes of the vectors of a query set (qid, q): one aggregation."""
+    size = queries.agg(F.count("qid").alias("n"), F.max(F.size("q")).alias("dim")).first()
+    return (size.n or 0) * max(0, size.dim or 0) * 4
+
+
+def all_pairs(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every query beside every row: by sending the queries to every task where ``query_bytes`` allows it, else by tiles of
+    both sides, joined on their place in the grid, so that neither side is held whole anywhere."""
+    if query_bytes(queries) <= BROADCAST_BYTES:
+        return F.broadcast(queries).crossJoin(rows)
+    across, down = (max(1, -(-d.count() // TILE_ROWS)) for d in (queries, rows))
+    left = queries.withColumn("__c", F.pmod(F.xxhash64("qid"), F.lit(across))).withColumn("__r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+    right = rows.withColumn("__r", F.pmod(F.xxhash64("id"), F.lit(down))).withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
+    return left.join(right, ["__r", "__c"]).drop("__r", "__c")
+
+
+def in_parts(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` over parts of a query set that each fit ``BROADCAST_BYTES``, by hash of the query id; one part if it does."""
+    parts = max(1, -(-query_bytes(queries) // BROADCAST_BYTES))
+    if parts == 1:
+        return search(queries)
+    parts *= 2  # parts differ in size
+    found = [search(queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def knn_sql(vectors: DataFrame, queries: DataFrame, k: int, metric: str, where: Column | None = None) -> DataFrame:
     """Rows (qid, rank, id, distance) as one declarative plan, for few queries and for reference.
 
     ``vectors`` has (id, vec), ``queries`` (qid, q). A row whose vector has another length than the query, or null, isn't
-    a hit. The caller vouches that ``queries`` is small: it is broadcast.
+    a hit.
     """
     _check_k(k)
     rows = vectors if where is None else vectors.where(where)
-    near = F.broadcast(queries.select("qid", "q")).crossJoin(rows.select("id", "vec"))
+    near = all_pairs(queries.select("qid", "q"), rows.select("id", "vec"))
     hits = near.select("qid", "id", D.distance(metric, F.col("q"), F.col("vec")).alias("distance")).where("distance is not null")
     return top_k(hits, k).select("qid", "rank", "id", "distance")
 
@@ -100,7 +130,10 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, n
 
 
 def query_matrix(queries: DataFrame) -> tuple[list[int], np.ndarray]:
-    """Query ids and vectors on the driver, in order of id. All have one length."""
+    """Query ids and vectors on the driver, in order of id. All have one length; ValueError if they are more than
+    ``BROADCAST_BYTES``, before any is collected."""
+    if query_bytes(queries) > BROADCAST_BYTES:
+        raise ValueError("too many queries to send to every task: search them in parts")
     rows = sorted((r.qid, r.q) for r in queries.select("qid", "q").where("qid is not null and q is not null").collect())
     dims = {len(q) for _, q in rows}
     if len(dims) > 1:
@@ -167,11 +200,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", wher
     Exact, ties by id. Ids are longs; rows with a null id or vector, or one of another length, aren't hits. The query
     set's size decides how it is run: within ``BROADCAST_BYTES`` it goes to every task, beyond it both sides are tiled.
     """
-    size = queries.agg(F.count("qid").alias("n"), F.max(F.size("q")).alias("dim")).first()
-    if (size.n or 0) * (size.dim or 0) * 4 <= BROADCAST_BYTES:
+    if query_bytes(queries) <= BROADCAST_BYTES:
         return knn_arrow(vectors, queries, k, metric, where)
     rows = vectors if where is None else vectors.where(where)
-    return knn_tiles(rows, queries, k, metric, rows.count(), size.n)
+    return knn_tiles(rows, queries, k, metric, rows.count(), queries.count())
 
 
 def knn_postfilter(vectors: DataFrame, queries: DataFrame, k: int, metric: str, where: Column, over: int = 4) -> DataFrame:
@@ -186,8 +218,8 @@ def knn_postfilter(vectors: DataFrame, queries: DataFrame, k: int, metric: str,
 
 
 def within(vectors: DataFrame, queries: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
-    """Rows (qid, id, distance) of all rows at most ``radius`` from a query; the query set is small and broadcast."""
-    near = F.broadcast(queries.select("qid", "q")).crossJoin(vectors.select("id", "vec"))
+    """Rows (qid, id, distance) of all rows at most ``radius`` from a query."""
+    near = all_pairs(queries.select("qid", "q"), vectors.select("id", "vec"))
     return near.select("qid", "id", D.distance(metric, F.col("q"), F.col("vec")).alias("distance")).where(F.col("distance") <= radius)
 
 

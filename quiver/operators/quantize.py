@@ -72,8 +72,8 @@ def knn_sq8(codes: DataFrame, queries: DataFrame, k: int, metric: str, book: Sq8
 
 
 def rerank(hits: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    """Exact distances for approximate hits, and the k best of those. Queries are few and broadcast."""
-    wide = hits.select("qid", "id").join(vectors.select("id", "vec"), "id").join(F.broadcast(queries.select("qid", "q")), "qid")
+    """Exact distances for approximate hits, and the k best of those."""
+    wide = hits.select("qid", "id").join(vectors.select("id", "vec"), "id").join(queries.select("qid", "q"), "qid")
     return K.top_k(wide.select("qid", "id", D.distance(metric, F.col("q"), F.col("vec")).alias("distance")), k).select("qid", "rank", "id", "distance")
 
 
@@ -208,11 +208,13 @@ def pq_decode(codes: DataFrame, book: PqCodebook) -> DataFrame:
 def knn_pq(codes: DataFrame, queries: DataFrame, k: int, metric: str, book: PqCodebook) -> DataFrame:
     """Rows (qid, rank, id, distance): plain queries against codes (id, code); each task keeps its best k a query.
 
-    Queries within ``knn.BROADCAST_BYTES`` only: they go to every task. ValueError beyond.
+    Query sets beyond ``knn.BROADCAST_BYTES`` are searched in parts.
     """
+    return K.in_parts(queries, lambda part: _knn_pq(codes, part, k, metric, book))
+
+
+def _knn_pq(codes: DataFrame, queries: DataFrame, k: int, metric: str, book: PqCodebook) -> DataFrame:
     qids, q = K.query_matrix(queries)
-    if q.nbytes > K.BROADCAST_BYTES:
-        raise ValueError("too many queries to send to every task: search them in parts")
 
     def run(batches):
         dist, ids = np.full((len(qids), 0), np.inf), np.zeros((len(qids), 0), np.int64)

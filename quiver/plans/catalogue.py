@@ -96,7 +96,7 @@ def knn_l2_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dist_l2_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    both = F.broadcast(asked(v)).crossJoin(v.select("id", "vec"))
+    both = knn.all_pairs(asked(v), v.select("id", "vec"))
     return both.select("qid", "id", F.round(D.l2_squared(F.col("q"), F.col("vec")), 6).alias("distance"))
 
 

@@ -47,6 +47,23 @@ def test_three_forms_equal_brute_force(spark, data, metric):
     assert rows(knn.knn_tiles(v, w, 12, metric, 500, 10, 100)) == want
 
 
+def test_large_query_sets_go_in_tiles_and_parts(spark, data, monkeypatch):
+    x, q = data
+    v, w = frame(spark, x), queries(spark, q)
+    book = quantize.pq_train(v, 4)
+    codes = quantize.pq_encode(v, book)
+    index = hnsw.build_index(v, "l2", 250)
+    centres = ivf.train_centres(v, 8)
+    cells = ivf.assign_cells(v, centres)
+    ways = [lambda: quantize.knn_pq(codes, w, 5, "l2", book), lambda: hnsw.knn_hnsw(index, w, 5, "l2"), lambda: ivf.knn_ivf(cells, w, 5, "l2", centres, 4), lambda: knn.knn_sql(v, w, 5, "l1"), lambda: knn.knn(v, w, 5, "dot")]
+    want = [rows(way()) for way in ways]
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(knn, "TILE_ROWS", 90)
+    assert [rows(way()) for way in ways] == want
+    with pytest.raises(ValueError):
+        knn.query_matrix(w)
+
+
 def test_many_ties_at_the_edge(spark):
     x = np.zeros((3000, 2), np.float32)
     assert [r.id for r in knn.knn(frame(spark, x).repartition(3), queries(spark, x[:1]), 5, "l2").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
