@@ -14,8 +14,9 @@ from quiver.llm.common import materialize, per_batch
 from quiver.llm.components import connected_components
 
 SEED = 42
-#: Fingerprints in one block of a tile, and shingles counted at a time. Both bound memory only.
-BLOCK = 1 << 15
+#: Fingerprints in one block of a tile, least and most, and shingles counted at a time. They bound memory and decide how
+#: work is dealt: a row is copied once for each block that its own meets, so blocks grow with the input.
+LEAST_BLOCK, MOST_BLOCK = 1 << 12, 1 << 18
 CHUNK = 1 << 16
 
 
@@ -128,14 +129,14 @@ def forest(fps: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray,
     return fps[linked], fps[label[linked]]
 
 
-def links(classes: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+def links(classes: DataFrame, radius: int = 3, block: int | None = None) -> DataFrame:
     """Edges (src, dst) that connect exactly the fingerprints ``classes.fp`` (distinct) within ``radius`` of each other.
 
     The driver plans from row counts by tile, 1089 at most. Each task compares two bounded sets of rows.
     """
     half = (F.bit_count(F.shiftrightunsigned("fp", 32)) * 33 + F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF))).cast("long")
     sizes = {r.t: r.n for r in classes.groupBy(half.alias("t")).agg(F.count("*").alias("n")).collect()}
-    split, tasks = plan_tiles(sizes, radius, block)
+    split, tasks = plan_tiles(sizes, radius, block or min(MOST_BLOCK, max(LEAST_BLOCK, sum(sizes.values()) // 32)))
 
     def deal(batch: pa.RecordBatch) -> pa.Table | None:
         fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
