@@ -18,7 +18,7 @@ MAX_ROWS = 8000
 MAX_FEATURES = 200_000
 #: A feature gets a weight if its share among the texts at or below some grade differs from the rest by so many
 #: standard errors, and so many labelled texts have it. Rare words that tell grades apart by chance stay out.
-MIN_Z = 5.0
+MIN_Z = 8.0
 MIN_ROWS = 5
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
 _CAPITAL = re.compile(r"[A-Z]")

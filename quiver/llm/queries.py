@@ -37,7 +37,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Documents are kept whose chance of the highest grade is so large.
-LEAST_TAIL = 0.5
+LEAST_TAIL = 0.7
 
 
 def graded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

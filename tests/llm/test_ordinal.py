@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quiver.llm import ordinal as O
+from quiver.llm import queries
 from quiver.llm.common import table
 
 
@@ -30,7 +31,7 @@ def test_held_out(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     held = F.xxhash64("doc_id") % 3 == 0
     model = O.graded(docs, labels.where(~held))
-    out = O.score(docs.join(labels.where(held), "doc_id"), model).groupBy("quality", "toxic").agg(F.avg((F.col("tail_probability") >= 0.5).cast("int")).alias("kept")).collect()
+    out = O.score(docs.join(labels.where(held), "doc_id"), model).groupBy("quality", "toxic").agg(F.avg((F.col("tail_probability") >= queries.LEAST_TAIL).cast("int")).alias("kept")).collect()
     kept = {(r.quality, r.toxic): r.kept for r in out}
     assert kept[1, 0] > 0.98 and kept[0, 0] < 0.05 and kept[0, 1] < 0.05 and kept[1, 1] < 0.4
 
