@@ -15,8 +15,10 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,8 @@ from quiver.llm.common import per_batch
 SPACE = "▁"
 DROPOUT = 0.1
 VARIANTS = 8
-#: Characters segmented together and runs remembered: both bound memory only. Longer runs go one by one.
+#: Characters segmented together, which bounds memory. Runs longer than ``LONG`` go one by one.
 STEP = 1 << 22
-REMEMBERED = 150_000
 LONG = 32
 #: Line ends and tabs stand alone: no piece joins them to anything.
 _ALONE = "\n\t"
@@ -244,21 +245,13 @@ def encode_runs(model: Model, runs: list[str], salts: np.ndarray, p: float, mark
     return flat, counts
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    n = counts[wanted]
-    ends = np.cumsum(n)
-    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[wanted] - (ends - n), n)]
-
-
 class Encoder:
     """Encodes texts under one seed; results don't depend on which texts come together."""
 
     def __init__(self, model: Model, p: float, seed: int):
         self.model, self.p, self.seed = model, p, seed
-        self.known: dict[tuple[str, int], int] = {}
-        self.flat, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def _runs(self, text: str) -> tuple[list[str], list[int], dict[str, bytes] | None]:
+    def _runs(self, text: str) -> tuple[list[str], np.ndarray, dict[str, bytes] | None]:
         """Runs of a text with their variants. A space mark in the text itself must not pass for a space: it is stood in
         for by a character that the text doesn't have and no piece has, and gives that mark's bytes."""
         marks = None
@@ -267,48 +260,45 @@ class Encoder:
             text, marks = text.replace(SPACE, stand_in), {stand_in: SPACE.encode()}
         runs = _RUN.findall(SPACE + text.replace(" ", SPACE)) if text else []
         if not self.p:
-            return runs, [0] * len(runs), marks
+            return runs, np.zeros(len(runs), np.int64), marks
         key = np.uint64(xxhash.xxh64_intdigest(text.encode(), self.seed & (1 << 64) - 1))
         x = (np.arange(len(runs), dtype=np.uint64) + key) * _A
-        return runs, ((x >> np.uint64(40)) % np.uint64(VARIANTS)).tolist(), marks
+        return runs, ((x >> np.uint64(40)) % np.uint64(VARIANTS)).astype(np.int64), marks
 
-    def _salts(self, variants: list[int]) -> np.ndarray:
-        return np.array(variants, np.uint64) + np.uint64(self.seed * VARIANTS & (1 << 64) - 1)
+    def _salts(self, variants: np.ndarray) -> np.ndarray:
+        return variants.astype(np.uint64) + np.uint64(self.seed * VARIANTS & (1 << 64) - 1)
 
-    def _learn(self, new: list[tuple[str, int]]) -> None:
-        flat, counts = encode_runs(self.model, [r for r, _ in new], self._salts([v for _, v in new]), self.p)
-        self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+    def _encode_step(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of some texts. Each run in each variant is worked out once, however often it stands in them."""
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        keys, ends, alone = [], [], {}
+        for i, text in enumerate(texts):
+            runs, variants, marks = self._runs(text)
+            if marks:
+                alone[i] = encode_runs(self.model, runs, self._salts(variants), self.p, marks)[0]
+                runs, variants = [], variants[:0]
+            keys.append(np.fromiter(map(number.__getitem__, runs), np.int64, len(runs)) * VARIANTS + variants)
+            ends.append(len(runs))
+        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
+        names = list(number)
+        flat, counts = encode_runs(self.model, [names[w] for w in (unique // VARIANTS).tolist()], self._salts(unique % VARIANTS), self.p)
+        starts, n = np.cumsum(counts) - counts, counts[place]
+        after = np.cumsum(n)
+        ids = flat[np.arange(int(after[-1]) if len(after) else 0) + np.repeat(starts[place] - (after - n), n)]
+        cuts = np.r_[0, after][np.cumsum(ends)]
+        return [alone.get(i, x) for i, x in enumerate(np.split(ids, cuts[:-1]))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         out: list[np.ndarray] = []
-        known, pending, size = self.known, [], 0
-        if len(known) > REMEMBERED:
-            known.clear()
-            self.flat, self.counts = self.flat[:0], self.counts[:0]
-
-        def work() -> None:
-            nonlocal pending, size
-            todo = list(known)[len(self.counts) :]
-            if todo:
-                self._learn(todo)
-            starts = np.cumsum(self.counts) - self.counts
-            out.extend(x if isinstance(x, np.ndarray) else _gather(self.flat, starts, self.counts, np.array(x, np.int64)) for x in pending)
-            pending, size = [], 0
-            if len(known) > REMEMBERED:
-                known.clear()
-                self.flat, self.counts = self.flat[:0], self.counts[:0]
-
-        for text in texts:
-            runs, variants, marks = self._runs(text)
-            if marks:
-                pending.append(encode_runs(self.model, runs, self._salts(variants), self.p, marks)[0])
-            else:
-                pending.append([known.setdefault(k, len(known)) for k in zip(runs, variants, strict=True)])
-            size += len(text)
-            if size >= STEP:
-                work()
-        work()
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < STEP:
+                size += len(texts[end])
+                end += 1
+            out += self._encode_step(texts[at:end])
+            at = end
         return out
 
 

@@ -43,7 +43,6 @@ def test_dropout_varies_by_seed_and_text_and_decodes(monkeypatch):
     plain = S.Encoder(MODEL, 0.0, 1).encode(texts)
     assert len(one[-1]) > len(plain[-1]) and len({tuple(x) for x in np.array_split(one[-1], 20)}) > 3
     monkeypatch.setattr(S, "STEP", 50)
-    monkeypatch.setattr(S, "REMEMBERED", 30)
     small = S.Encoder(MODEL, 0.2, 1)
     assert [x.tolist() for t in (texts[:40], texts[40:]) for x in small.encode(t)] == [x.tolist() for x in one]
 
