@@ -327,8 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sq8_train": sq8_train,
     "sq8_encode": sq8_encode,
     "sq8_decode_error": sq8_decode_error,
-    **{f"knn_sq8_{m}": _knn_sq8(m) for m in ("l2", "cosine", "dot", "l1")},
-    "knn_sq8_hamming": _knn_sq8("hamming"),
+    **{f"knn_sq8_{m}": _knn_sq8(m) for m in _METRICS},
     "knn_sq8_rerank": knn_sq8_rerank,
     "recall_sq8": recall_sq8,
     "pq_train": pq_train,
@@ -367,7 +366,7 @@ ORACLES: dict[str, str] = {
     "sq8_train": f"WITH {_BOOK} SELECT pos::INTEGER AS pos, round(low, 6) AS low, round(step, 8) AS step FROM b",
     "sq8_encode": f"WITH {_BOOK} SELECT id, pos::INTEGER AS pos, code FROM c",
     "sq8_decode_error": f"WITH {_BOOK} SELECT id, round(max(abs(low + code * step - x)), 6) AS max_error FROM c GROUP BY id",
-    **{f"knn_sq8_{m}": _sq8_sql(m) for m in ("l2", "cosine", "dot", "l1")},
+    **{f"knn_sq8_{m}": _sq8_sql(m) for m in _METRICS},
     "knn_sq8_rerank": f"""WITH {_DECODED}, d AS (SELECT q.id AS qid, w.id AS id, {_DIST["l2"].replace("v.vec", "w.vec")} AS distance, {_DIST["l2"].replace("v.vec", "x.vec")} AS exact FROM p q, w JOIN p x ON x.id = w.id WHERE q.id % 100 = 0),
         near AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, id) <= {4 * K_NEAR}),
         r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY exact, id) AS rank, id, exact AS distance FROM near)
