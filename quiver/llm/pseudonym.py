@@ -18,18 +18,18 @@ ROUNDS = 10
 PATTERNS = {
     "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "aws": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=password=|passwd=|token=|secret=|api_key=|apikey=|token = \"|secret = \"|password = \"|api_key = \")[A-Za-z0-9_+/-]{8,}+",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|token|secret|api_?key)(?: ?[=:] ?\"?)(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}+",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![\p{L}0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "ip": r"(?<![\p{L}0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
+    "card": r"(?<![\p{L}0-9])(?<![0-9][.,-])(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})(?![0-9])",
+    "ip": r"(?<![\p{L}0-9])(?<![0-9][.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "iso": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "us": r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
     "eu": r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9.])",
 }
 ANY = "|".join(PATTERNS.values())
 #: No find is without one of these; most texts have none and aren't searched further.
-HINT = "[0-9@]|AKIA|ASIA|password|passwd|token|secret|api_?key"
+HINT = "[0-9@]|A[KS]IA"
 _DATES = {"iso": "yyyy-MM-dd", "us": "MM/dd/yyyy", "eu": "dd.MM.yyyy"}
 
 
@@ -125,12 +125,18 @@ def _mail(key: str) -> str:
     return f"concat({_alias('mail', 'lower(x)', f'greatest(16, length({name}))', key, 'bcdfghjkmnpqrstv')}, '@', {host})"
 
 
+def _secret(key: str) -> str:
+    """The name before the secret stays."""
+    value = "regexp_extract(x, '[A-Za-z0-9_+/-]+$', 0)"
+    return _let(value, "v", f"concat(substr(x, 1, length(x) - length(v)), {_alias('secret', 'v', 'greatest(16, length(v))', key, '0123456789abcdef')})")
+
+
 def pseudonym(kind: str, key: str, back: bool = False) -> str:
     """SQL for the pseudonym of the find ``x``; a find that isn't valid in its format stays as it is."""
     if kind in _DATES:
         return _date(kind, key, back)
     if kind in ("mail", "aws", "secret"):
-        made = {"mail": _mail(key), "aws": f"concat(substr(x, 1, 4), {_alias('aws', 'x', '16', key, 'ABCDEFGHJKMNPQRS')})", "secret": _alias("secret", "x", "greatest(16, length(x))", key, "0123456789abcdef")}[kind]
+        made = {"mail": _mail(key), "aws": f"concat(substr(x, 1, 4), {_alias('aws', 'x', '16', key, 'ABCDEFGHJKMNPQRS')})", "secret": _secret(key)}[kind]
         return "x" if back else made
     return {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip}[kind](key, back)
 
@@ -143,7 +149,7 @@ def _replaced(text: str, key: str, back: bool) -> str:
     # Patterns look around, so a find alone can't be matched again by its own pattern: bare forms tell the kinds apart.
     bare = {
         "mail": "x like '%@%'", "aws": "x rlike '^A[KS]IA[A-Z0-9]{16}$'", "ssn": "x rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", "phone": "x rlike '^([+]1[ .-]?)?([(][0-9]{3}[)] ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$'",
-        "iso": "x rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'", "us": "x rlike '^[0-9]{2}/[0-9]{2}/[0-9]{4}$'", "eu": "x rlike '^[0-9]{2}[.][0-9]{2}[.][0-9]{4}$'", "ip": "x rlike '^([0-9]{1,3}[.]){3}[0-9]{1,3}$'", "card": "x rlike '^[0-9]([ -]?[0-9]){12,18}$'",
+        "iso": "x rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'", "us": "x rlike '^[0-9]{2}/[0-9]{2}/[0-9]{4}$'", "eu": "x rlike '^[0-9]{2}[.][0-9]{2}[.][0-9]{4}$'", "ip": "x rlike '^([0-9]{1,3}[.]){3}[0-9]{1,3}$'", "card": "x rlike '^[0-9][0-9 -]+$'",
     }
     cases = " ".join(f"when {test} then {pseudonym(kind, key, back)}" for kind, test in bare.items())
     made = f"transform({_finds(text)}, x -> case {cases} else {pseudonym('secret', key, back)} end)"
