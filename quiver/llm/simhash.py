@@ -16,7 +16,7 @@ from quiver.llm.components import connected_components
 SEED = 42
 #: Fingerprints in one block of a tile, least and most, and shingles counted at a time. They bound memory and decide how
 #: work is dealt: a row is copied once for each block that its own meets, so blocks grow with the input.
-LEAST_BLOCK, MOST_BLOCK = 1 << 12, 1 << 18
+LEAST_BLOCK, MOST_BLOCK = 1 << 10, 1 << 18
 CHUNK = 1 << 16
 
 
@@ -82,7 +82,7 @@ def plan_tiles(sizes: dict[int, int], radius: int, block: int) -> tuple[dict[int
         filled = 0.0
         for other in near[home[0]]:
             if other > home:
-                if filled and filled + rows[other] > 4 * block:
+                if filled and filled + rows[other] > 2 * block:
                     task, filled = task + 1, 0.0
                     tasks[home].append((task, 2))
                 tasks[other].append((task, 1))
