@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quiver.llm.common import discard, materialize
 
 
+#: Edges in one file of a round's table, so that small rounds don't leave many small files.
+EDGES_A_FILE = 500_000
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """Each pair with the least node among u and its partners v. Minimum before join: a hub shuffles one row per task."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -33,7 +37,7 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         large = _nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _nearest(large)
         step = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        after, new = materialize(step, "edges")
+        after, new = materialize(step if state is None else step.coalesce(1 + state[0] // EDGES_A_FILE), "edges")
         discard(spark, path)
         now, path = after, new
         # Equal edge sets before and after a round mean that all are stars. Two hash sums stand for the set.
