@@ -135,7 +135,8 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, group: int = GROUP, with_ids: bool = False) -> DataFrame:
     """Rows (id_col, piece, start, length, ids_crc32, sequence_id, offset[, ids]): every piece of every document, placed.
 
-    Pieces are dealt by hash into groups of about ``group`` and packed in each, longest first; sequence ids are unique.
+    Pieces are dealt by hash, of their row's place too, into groups of about ``group``, so that repeated rows spread like
+    others. Each group is packed longest first; sequence ids are unique.
     Offsets within a sequence have no gaps from 0 on. Null or empty text: one piece, the closing 0 alone. Repeated rows
     are packed as often as they stand. Other columns are ignored; an empty table gives none.
     """
@@ -153,6 +154,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         return out.select(names)
 
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema} | {"sequence_id": "bigint", "offset": "bigint"}
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     out = dealt.groupBy("grp").applyInArrow(place, ", ".join(f"{n} {kinds[n]}" for n in names))
     return out.withColumnRenamed("id", id_col)

@@ -17,6 +17,8 @@ LENGTH = 64
 LEAST_BLOCK = 3
 #: Bytes hashed at a time: bounds memory whatever a text's length.
 STEP = 1 << 18
+#: Ranges of documents that are walked side by side at most: the driver holds one id of each.
+MOST_RANGES = 100_000
 #: Equal runs of so many characters must be in both signatures, or two texts count as unlike.
 RUN = 4
 #: Block sizes that a fingerprint covers.
@@ -142,7 +144,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fingerpr
 def _spread(df: DataFrame, rows: int) -> list:
     """Bounds that cut ids into ranges of about ``rows`` rows, from quantiles of the ids alone."""
     n = df.count()
-    parts = min(10_000, max(1, -(-n // rows)))
+    parts = min(MOST_RANGES, max(1, -(-n // rows)))
     cuts = df.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     return sorted({int(c) for c in cuts})
 
