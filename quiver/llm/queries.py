@@ -20,7 +20,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(table(spark, sf_dir, "documents"), "doc_id", "text", per_edit=linededup.PER_EDIT)
+    return linededup.line_report(table(spark, sf_dir, "documents"), "doc_id", "text", per_edit=linededup.PER_EDIT, copy_chars=1)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
