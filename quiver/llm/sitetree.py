@@ -36,6 +36,8 @@ MAIN_TAGS = frozenset({"article", "main"})
 #: Nodes less important than this go, where pages are enough to tell.
 LEAST_IMPORTANCE = 0.25
 LEAST_PAGES = 5
+#: How many times a marked block's text counts against the blocks outside marks.
+MARK_WEIGHT = 10
 #: Dull nodes that are sent to every task at most (8 bytes each and their host's name); tasks that share a host beyond.
 BROADCAST_NODES = 200_000
 SALTS = 64
@@ -171,24 +173,32 @@ def observations(html: str | None) -> list[tuple[int, int, int]]:
     return list(out)
 
 
-def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
+def _page_key(html: str | None) -> int:
+    """The page's marked blocks as a number, or all its blocks where none is marked: equal for copies of one article."""
+    blocks, _ = parse(html)
+    return _node_key("\n".join([t for t, x in blocks if x.main] or [t for t, _ in blocks]))
+
+
+def importance(pages: DataFrame, host_col: str, html_col: str, distinct: bool = False) -> DataFrame:
     """Rows (host, node, pages, importance) for the nodes seen on ``LEAST_PAGES`` or more pages of a host.
 
     A node's contents c have shares p of all its content occurrences; their normalised entropy is 1 where every page
     brings its own and 0 where all bring the same. Presentation is alike over the ways children are laid out. A node's
-    importance is the larger of the two: noise must be dull in both.
+    importance is the larger of the two: noise must be dull in both. With ``distinct``, pages of a host that are copies
+    of one article count once, so that its text is not taken for a template.
     """
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         host, rows = [], []
         for i, h in enumerate(batch.column(1)):
-            found = observations(h.as_py())
+            found, page = observations(h.as_py()), _page_key(h.as_py()) if distinct else 0
             host += [i] * len(found)
-            rows += found
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table([batch.column(0).take(pa.array(host, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=["host", "node", "kind", "feature"])
+            rows += [(*x, page) for x in found]
+        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+        return pa.table([batch.column(0).take(pa.array(host, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=["host", "node", "kind", "feature", "page"])
 
-    seen = pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(per_batch(run), "host string, node long, kind long, feature long")
+    seen = pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(per_batch(run), "host string, node long, kind long, feature long, page long")
+    seen = seen.distinct() if distinct else seen
     counts = seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("c"))
     sums = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
     entropy = F.when(F.col("n") > 1, (F.log2("n") - F.col("clogc") / F.col("n")) / F.log2("n")).otherwise(1.0)
@@ -197,24 +207,26 @@ def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
 
 
 def main_text(html: str | None, dull: frozenset[int] | set[int]) -> str:
-    """Blocks of a page outside noise elements and, but for a marked article, outside ``dull`` nodes.
+    """Blocks of a page outside noise elements and outside ``dull`` nodes; those in an article or main element alone,
+    unless the others hold more than ``MARK_WEIGHT`` times their text.
 
-    Where a page marks its article, the article's own blocks are the text: copies of one article on a host are dull as
-    content, but no noise. Elsewhere a branch of low importance goes; if nothing would stay, nothing goes.
+    A branch of low importance goes, in a marked article too; if nothing would stay, nothing goes.
     """
-    kept, nodes = parse(html)
+    blocks, nodes = parse(html)
+    kept = blocks
+    if dull:
+        alive: set[int] = set()  # elements that are important or hold one that is
+        for x in nodes:
+            if not x.noise and _node_key(x.path) not in dull:
+                while x is not None and id(x) not in alive:
+                    alive.add(id(x))
+                    x = x.parent
+        kept = [(t, x) for t, x in blocks if id(x) in alive] or blocks
     inside = [t for t, x in kept if x.main]
-    if inside:
+    outside = sum(len(t) for t, x in kept if not x.main)
+    if sum(map(len, inside)) * MARK_WEIGHT >= outside and inside:
         return "\n".join(inside)
-    if not dull:
-        return "\n".join(t for t, _ in kept)
-    alive: set[int] = set()  # elements that are important or hold one that is
-    for x in nodes:
-        if not x.noise and _node_key(x.path) not in dull:
-            while x is not None and id(x) not in alive:
-                alive.add(id(x))
-                x = x.parent
-    return "\n".join([t for t, x in kept if id(x) in alive] or [t for t, _ in kept])
+    return "\n".join(t for t, _ in kept)
 
 
 def host_of(url_col: str):
@@ -232,7 +244,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     or fewer in all, else by a join on host and salt, so that no host's pages meet in one task.
     """
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    found, _ = materialize(importance(src, "host", "html").where(F.col("importance") < LEAST_IMPORTANCE).select("host", "node"), "dull")
+    found, _ = materialize(importance(src, "host", "html", distinct=True).where(F.col("importance") < LEAST_IMPORTANCE).select("host", "node"), "dull")
     dull = found.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("dull"))
     if found.count() <= broadcast_nodes:
         wide = src.join(F.broadcast(dull), "host", "left")

@@ -72,3 +72,17 @@ def test_importance_equals_plain_sums(spark, sf):
 def test_pages(spark, sf):
     pages = table(spark, sf, "pages")
     assert {r.page_id: r.text for r in S.extract(pages).collect()} == {r.page_id: plain(r.html) for r in pages.collect()}
+
+
+def test_importance_decides_on_marked_pages(spark):
+    def page(i, text):
+        return f"<body><article><h1>Title {text}</h1><p>Story {text}, like no other {text}.</p><div class=box><p>Read our paper every day</p></div></article></body>"
+
+    rows = [(i, "http://a.example/", page(i, i if i < 8 else 99)) for i in range(40)]
+    teaser = "<article><p>Teaser {0}</p></article><div class=body><p>" + "The body of page {0} goes on and on. " * 30 + "</p></div>"
+    rows += [(100 + i, "http://b.example/", teaser.format(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        t = i if i < 8 else 99
+        assert got[i] == f"Title {t}\nStory {t}, like no other {t}." != text(rows[i][2])
+    assert all(f"body of page {i}" in got[100 + i] for i in range(8))
