@@ -24,8 +24,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return rules.apply_rules(docs, "text").drop("text", "rejected_by")
+    return rules.apply_rules(table(spark, sf_dir, "documents"), "text", keep=["doc_id"]).drop("rejected_by")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

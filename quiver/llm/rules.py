@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quiver.llm.common import per_batch
 
 #: Fixed values of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -123,30 +126,39 @@ def sample_texts(df: DataFrame, text_col: str, size: int = SAMPLE) -> list[str |
     return [r.t for r in df.select(F.col(text_col).cast("string").alias("t"), h.alias("h")).join(F.broadcast(ids), "h").dropDuplicates(["h"]).orderBy("h").collect()]
 
 
-def apply_rules(df: DataFrame, text_col: str = "text", order: list[str] | None = None, size: int = SAMPLE) -> DataFrame:
+def apply_rules(df: DataFrame, text_col: str = "text", order: list[str] | None = None, size: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by.
 
     Texts that fail the base rule go no further; others pass the rules in order until one rejects. rejected_by names
     it: ``base``, a rule, or null if kept. If several rules would reject, it depends on the order; kept doesn't. Columns
-    of those names are replaced; rows and other columns stay. Null text counts as empty, which fails the base rule. An
-    empty table gives none.
+    of those names are replaced, whatever their case; rows and other columns stay, or those of ``keep`` alone. Null text
+    counts as empty, which fails the base rule. Repeated rows come back repeated; an empty table gives none.
+
+    Texts go to Python in Arrow batches and are read one at a time; only the counts and the kept columns come back.
     """
     order = order or plan(sample_texts(df, text_col, size))
-    kinds = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,rejected_by:string>"
-
-    def run(texts: pa.Array) -> pa.Array:
-        rows = []
-        for x in texts:
+    made = (*_COUNTS, "rejected_by", "base_failed", "kept")
+    stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
+    # Columns go by place, so that no name of the table's can meet one of these.
+    src = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(stay)), F.col(text_col).cast("string").alias("t"))
+    told = [*((c, "long") for c in _COUNTS), ("rejected_by", "string"), ("base_failed", "boolean"), ("kept", "boolean")]
+    schema = StructType(src.schema.fields[:-1])
+    for name, kind in told:
+        schema.add(name, kind)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts: list[list[int]] = [[] for _ in _COUNTS]
+        by: list[str | None] = []
+        for x in batch.column(len(stay)):
             t = measure(x.as_py())
-            by = "base" if base_failed(t) else next((name for name in order if RULES[name](t)), None)
-            rows.append({"n_words": t.n_words, "word_chars": t.word_chars, "n_symbols": t.n_symbols, "n_dup_lines": t.n_dup_lines, "n_repeat_words": t.n_repeat_words, "rejected_by": by})
-        return pa.array(rows, pa.struct([*((c, pa.int64()) for c in _COUNTS), ("rejected_by", pa.string())]))
-
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    wide = df.withColumn("__rules", F.arrow_udf(run, kinds)(F.col(text_col).cast("string")))
-    out = {c: F.col(f"__rules.{c}") for c in (*_COUNTS, "rejected_by")}
-    out |= {"base_failed": F.coalesce(F.col("__rules.rejected_by") == "base", F.lit(False)), "kept": F.col("__rules.rejected_by").isNull()}
-    return wide.withColumns(out).drop("__rules")
+            by.append("base" if base_failed(t) else next((name for name in order if RULES[name](t)), None))
+            for c, v in zip(counts, (t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words), strict=True):
+                c.append(v)
+        cols = [*batch.columns[: len(stay)], *(pa.array(c, pa.int64()) for c in counts), pa.array(by, pa.string())]
+        cols += [pa.array([x == "base" for x in by], pa.bool_()), pa.array([x is None for x in by], pa.bool_())]
+        return pa.RecordBatch.from_arrays(cols, names=[*(f"c{i}" for i in range(len(stay))), *made])
+
+    return src.mapInArrow(per_batch(run), schema).toDF(*stay, *made)
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -38,7 +38,8 @@ def test_order_follows_rate_and_changes_no_verdict(spark, sf):
 
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (3, "good words in a row that stand here for all to see"), (None, "é " * 100_000), (4, "a\x0bb\x0cc\xa0d e f g h i j k l")]
-    df = spark.createDataFrame([(*r, "k", 5) for r in rows], "doc_id long, text string, kept string, n_words int")
+    df = spark.createDataFrame([(*r, "k", 5, "mine") for r in rows], "doc_id long, text string, kept string, n_words int, __rules string")
     got = [(r.doc_id, r.n_words, r.base_failed, r.kept) for r in R.apply_rules(df).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, True, False), (2, 0, True, False), (2, 0, True, False), (3, 12, False, True), (None, 100_000, True, False), (4, 11, False, False)], key=str)
     assert R.apply_rules(df.limit(0)).count() == 0
+    assert {r["__rules"] for r in R.apply_rules(df).collect()} == {"mine"} and R.apply_rules(df).columns[:3] == ["doc_id", "text", "__rules"]
