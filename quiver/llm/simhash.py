@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,32 +62,44 @@ def _blocks(fps: np.ndarray, n: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def plan_tiles(sizes: dict[int, int], radius: int, block: int) -> tuple[dict[int, int], dict[tuple[int, int], list[tuple[int, int]]]]:
-    """Which comparisons each block of each tile takes part in.
+class Deal:
+    """Which comparisons the rows of a block take part in, by formula from the row counts of tiles (1089 at most).
 
-    Returns blocks per tile, and for (tile, block) its (task, role) list: role 0 rows are compared with each other and
-    with role 1 rows, role 2 rows with role 1 rows only. Tiles whose counts differ beyond the radius never meet.
+    A tile is split into blocks. Each block is home to some tasks: it meets the blocks after it of its own tile, then
+    those of later tiles, laid end to end and cut every two blocks' rows. Tiles whose counts differ beyond the radius
+    never meet. Nothing is listed for all blocks anywhere, so the plan is as small for any number of rows.
     """
-    split = {t: -(-n // block) for t, n in sizes.items()}
-    units = [(t, b) for t in sorted(sizes) for b in range(split[t])]
-    rows = {(t, b): sizes[t] / split[t] for t, b in units}
-    near: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for t in sizes:
-        near[t] = [u for u in units if abs(u[0] // 33 - t // 33) + abs(u[0] % 33 - t % 33) <= radius]
-    tasks: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    task = -1
-    for home in units:
-        task += 1
-        tasks[home].append((task, 0))
-        filled = 0.0
-        for other in near[home[0]]:
-            if other > home:
-                if filled and filled + rows[other] > 2 * block:
-                    task, filled = task + 1, 0.0
-                    tasks[home].append((task, 2))
-                tasks[other].append((task, 1))
-                filled += rows[other]
-    return split, tasks
+
+    def __init__(self, sizes: dict[int, int], radius: int, block: int):
+        self.step = 2 * block
+        self.split = {t: -(-n // block) for t, n in sizes.items()}
+        self.rows = {t: n / self.split[t] for t, n in sizes.items()}
+        self.later: dict[int, list[tuple[int, int]]] = {t: [] for t in sizes}  # (tile, rows of the tiles before it)
+        self.earlier: dict[int, list[tuple[int, int]]] = {t: [] for t in sizes}
+        for t in sorted(sizes):
+            before = 0
+            for u in sorted(sizes):
+                if u > t and abs(u // 33 - t // 33) + abs(u % 33 - t % 33) <= radius:
+                    self.later[t].append((u, before))
+                    self.earlier[u].append((t, before))
+                    before += sizes[u]
+
+    def _part(self, t: int, b: int, before: float) -> int:
+        """Task of the home block b of tile t that meets the block which ``before`` rows stand before."""
+        return t << 52 | b << 26 | int(before // self.step)
+
+    def tasks(self, t: int, b: int) -> Iterator[tuple[int, int]]:
+        """(task, role) of a block: role 0 rows are compared with each other and with role 1 rows, role 2 rows with role
+        1 rows only."""
+        own = (self.split[t] - 1 - b) * self.rows[t]
+        last = own + self.later[t][-1][1] + (self.split[u := self.later[t][-1][0]] - 1) * self.rows[u] if self.later[t] else own - self.rows[t]
+        for k in range(int(max(0.0, last) // self.step) + 1):
+            yield t << 52 | b << 26 | k, 2 if k else 0
+        for c in range(b):
+            yield self._part(t, c, (b - c - 1) * self.rows[t]), 1
+        for u, before in self.earlier[t]:
+            for c in range(self.split[u]):
+                yield self._part(u, c, (self.split[u] - 1 - c) * self.rows[u] + before + b * self.rows[t]), 1
 
 
 def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -132,28 +144,29 @@ def forest(fps: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray,
 def links(classes: DataFrame, radius: int = 3, block: int | None = None) -> DataFrame:
     """Edges (src, dst) that connect exactly the fingerprints ``classes.fp`` (distinct) within ``radius`` of each other.
 
-    The driver plans from row counts by tile, 1089 at most. Each task compares two bounded sets of rows.
+    Tasks are dealt by formula from row counts by tile, 1089 at most. Each compares two bounded sets of rows.
     """
     half = (F.bit_count(F.shiftrightunsigned("fp", 32)) * 33 + F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF))).cast("long")
     sizes = {r.t: r.n for r in classes.groupBy(half.alias("t")).agg(F.count("*").alias("n")).collect()}
-    split, tasks = plan_tiles(sizes, radius, block or min(MOST_BLOCK, max(LEAST_BLOCK, sum(sizes.values()) // 32)))
+    plan = Deal(sizes, radius, block or min(MOST_BLOCK, max(LEAST_BLOCK, sum(sizes.values()) // 32)))
 
     def deal(batch: pa.RecordBatch) -> pa.Table | None:
         fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         tiles, out = _tiles(fps), []
         for t in np.unique(tiles):
             rows = fps[tiles == t]
-            blocks = _blocks(rows, split[int(t)])
+            blocks = _blocks(rows, plan.split[int(t)])
             for b in np.unique(blocks):
                 part = rows[blocks == b].view(np.int64)
-                out += [(np.full(len(part), k, np.int32), np.full(len(part), r, np.int8), part) for k, r in tasks[int(t), int(b)]]
+                out += [(np.full(len(part), k, np.int64), np.full(len(part), r, np.int8), part) for k, r in plan.tasks(int(t), int(b))]
         return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["task", "role", "fp"])
 
     def compare(group: pa.Table) -> pa.Table:
         a, b = forest(group["fp"].to_numpy().view(np.uint64), group["role"].to_numpy(), radius)
         return pa.table([a.view(np.int64), b.view(np.int64)], names=["src", "dst"])
 
-    dealt = classes.select("fp").mapInArrow(per_batch(deal), "task int, role byte, fp long")
+    # Ranges of tasks hold about as many rows each, where hashes of a few hundred tasks would heap some up.
+    dealt = classes.select("fp").mapInArrow(per_batch(deal), "task long, role byte, fp long").repartitionByRange("task")
     return dealt.groupBy("task").applyInArrow(compare, "src long, dst long")
 
 

@@ -52,11 +52,11 @@ def test_blocks_and_forest_equal_brute_force():
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)) for _ in range(12))]))
     tiles = S._tiles(fps)
-    split, tasks = S.plan_tiles({int(t): int(n) for t, n in zip(*np.unique(tiles, return_counts=True), strict=True)}, 3, 4)
+    plan = S.Deal({int(t): int(n) for t, n in zip(*np.unique(tiles, return_counts=True), strict=True)}, 3, 4)
     dealt = {}
     for f, t in zip(fps, tiles, strict=True):
-        b = int(S._blocks(np.array([f]), split[int(t)])[0])
-        for k, r in tasks[int(t), b]:
+        b = int(S._blocks(np.array([f]), plan.split[int(t)])[0])
+        for k, r in plan.tasks(int(t), b):
             dealt.setdefault(k, []).append((f, r))
     label = np.arange(len(fps))
     for rows in dealt.values():
@@ -69,6 +69,26 @@ def test_blocks_and_forest_equal_brute_force():
     assert np.array_equal(label, want)
 
 
+def test_every_pair_of_blocks_meets_once():
+    rng = np.random.default_rng(2)
+    sizes = {int(t): int(n) for t, n in zip(rng.choice(1089, 400, replace=False), rng.integers(1, 90, 400), strict=True)}
+    plan = S.Deal(sizes, 3, 8)
+    dealt = {}
+    for t in sizes:
+        for b in range(plan.split[t]):
+            for k, r in plan.tasks(t, b):
+                dealt.setdefault(k, []).append(((t, b), r))
+    met = []
+    for members in dealt.values():
+        home = [x for x, r in members if r != 1]
+        assert len(home) == 1 and len(members) <= 200
+        met += [(home[0], x) for x, r in members if r == 1]
+        met += [(x, x) for x, r in members if r == 0]
+    units = [(t, b) for t in sizes for b in range(plan.split[t])]
+    want = {(x, y) for x in units for y in units if x <= y and abs(x[0] // 33 - y[0] // 33) + abs(x[0] % 33 - y[0] % 33) <= 3}
+    assert len(met) == len(set(met)) and set(met) == want
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (3, "a " * 9000), (None, "x y z q"), (4, "x y z q")]
     df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], "doc_id long, text string, fp string, component_id int, task int")
