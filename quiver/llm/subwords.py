@@ -2,12 +2,13 @@
 
 Segmentation is of the merge type: of all neighbouring symbols whose join is a piece, the best-scored is joined first,
 the leftmost of equal ones, until none is left. With dropout, a candidate that comes up is skipped for good with a given
-chance, decided by a hash of the seed, the place and the piece; new neighbours make new candidates. Pieces then differ
-from text to text, but always spell it, so decoding restores it exactly.
+chance, decided by a keyed hash of its own: of the seed, the whole text, the run's place in it, the candidate's place in
+the run, and the piece; new neighbours make new candidates. Pieces then differ from place to place, but always spell the
+text, so decoding restores it exactly.
 
 No piece of such a model joins a space mark to what stands before it, so the runs between (space marks, then a word) are
-segmented one by one. A run's hash is of its text and one of ``VARIANTS`` numbers, told by the whole text and the run's
-place in it: equal runs are segmented alike only by the 1 in ``VARIANTS`` chance, and each such pair is worked out once.
+segmented one by one. Equal runs go through the same states of the agenda until their hashes part them: each state is
+worked out once, and only the hashes are taken for every place.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,14 @@ from quiver.llm.common import per_batch
 
 SPACE = "▁"
 DROPOUT = 0.1
-VARIANTS = 8
 #: Characters segmented together, which bounds memory. Runs longer than ``LONG`` go one by one.
 STEP = 1 << 22
 LONG = 32
+#: Characters whose runs walk together, bytes of states kept for each length of runs, and runs kept by name. Beyond them
+#: states are forgotten and worked out again.
+WALK = 1 << 17
+STATE_BYTES = 1 << 24
+NAMES = 200_000
 #: Line ends and tabs stand alone: no piece joins them to anything.
 _ALONE = "\n\t"
 _RUN = re.compile(f"{SPACE}*[^{SPACE}{_ALONE}]+|{SPACE}+|[{_ALONE}]")
@@ -106,25 +111,18 @@ def _dropped(base: int, start: int, piece: int, p: float) -> bool:
     return bool(_chance(np.array([base], np.uint64), np.array([start]), np.array([piece]))[0] < p)
 
 
-def bases_of(codes: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """A hash for each row of code points and its salt."""
-    out = salts.astype(np.uint64) * _B + np.uint64(codes.shape[1])
-    for j in range(codes.shape[1]):
-        out = (out ^ codes[:, j]) * _C
-        out ^= out >> np.uint64(31)
-    return out
+def bases_of(key: int, n: int) -> np.ndarray:
+    """A hash for each of the ``n`` runs of a text with this key."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * _A + np.uint64(key)
+    x = (x ^ (x >> np.uint64(30))) * _B
+    x = (x ^ (x >> np.uint64(27))) * _C
+    return x ^ (x >> np.uint64(31))
 
 
 def _codes(runs: list[str], width: int) -> np.ndarray:
     return np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).reshape(-1, width)
 
 
-def base_of(run: str, salt: int) -> int:
-    """``bases_of`` for one run; a long one counts by its digest."""
-    codes = _codes([run], len(run)) if len(run) <= LONG else np.array([[xxhash.xxh64_intdigest(run.encode())]], np.uint64)
-    return int(bases_of(codes, np.array([salt], np.uint64))[0])
-
-
 def encode_run(model: Model, run: str, base: int, p: float, marks: dict[str, bytes] | None = None) -> list[int]:
     """Ids of one run by an agenda of candidates; time is n log n in its length. Characters without a piece give bytes."""
     n = len(run)
@@ -168,125 +166,190 @@ def _lookup(model: Model, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarr
     return np.where(model.pairs[at] == key, model.rank[piece], _NONE), piece
 
 
-def _encode_equal(model: Model, sym: np.ndarray, base: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of runs of one length at a time, row by row: (rows x length, what is used of each)."""
-    n, width = sym.shape
-    out, used = sym.copy(), np.full(n, width)
-    if width == 1:
-        return out, used
-    rank, piece = _lookup(model, sym[:, :-1], sym[:, 1:])
-    start = np.broadcast_to(np.arange(width, dtype=np.int32), sym.shape).copy()
-    row, size = np.arange(n), np.full(n, width)
-    cols = np.arange(width)
-    while True:
-        each = np.arange(len(row))
-        best = rank.argmin(axis=1)
+class States:
+    """States of the agenda over runs of one length, each worked out once: its symbols, the candidates left, and the
+    states that follow if the best one is skipped or joined."""
+
+    def __init__(self, model: Model, width: int):
+        self.model, self.width, self.n = model, width, 0
+        self.sym = np.zeros((0, width), np.int32)
+        self.start = np.zeros((0, width), np.int8)
+        self.rank = np.zeros((0, max(1, width - 1)), np.int32)
+        self.piece = np.zeros((0, max(1, width - 1)), np.int32)
+        self.size = np.zeros(0, np.int8)
+        self.best = np.zeros(0, np.int8)  # place of the best candidate, -1 where none is left
+        self.place = np.zeros(0, np.int8)  # where that candidate starts in the run
+        self.makes = np.zeros(0, np.int32)  # the piece that it makes
+        self.next = np.zeros((0, 2), np.int32)
+
+    _PARTS = ("sym", "start", "rank", "piece", "size", "best", "place", "makes", "next")
+
+    def nbytes(self) -> int:
+        return sum(getattr(self, x).nbytes for x in self._PARTS)
+
+    def _add(self, sym: np.ndarray, start: np.ndarray, rank: np.ndarray, piece: np.ndarray, size: np.ndarray) -> np.ndarray:
+        n, each = len(sym), np.arange(len(sym))
+        best = rank.argmin(axis=1) if n else each
         live = rank[each, best] < _NONE
-        if 4 * np.count_nonzero(live) < 3 * len(row):  # let go of finished rows once they are many
-            done = ~live
-            out[row[done]], used[row[done]] = sym[done], size[done]
-            sym, start, rank, piece, base, row, size, best = (x[live] for x in (sym, start, rank, piece, base, row, size, best))
-            if not len(row):
-                return out, used
-            each, live = each[: len(row)], live[live]
-        rank[each, best] = _NONE
-        go = live & (_chance(base, start[each, best], piece[each, best]) >= p) if p else live
-        g = np.flatnonzero(go)
-        b = best[g]
-        take = np.minimum(cols + (cols > b[:, None]), width - 1)
-        sym_g = np.take_along_axis(sym[g], take, 1)
-        sym_g[np.arange(len(g)), b] = piece[g, b]
-        sym[g], start[g] = sym_g, np.take_along_axis(start[g], take, 1)
-        take = take[:, :-1].clip(max=width - 2)
-        moved_rank, moved_piece = np.take_along_axis(rank[g], take, 1), np.take_along_axis(piece[g], take, 1)
-        moved_rank[:, -1] = _NONE
-        size[g] -= 1
-        last = size[g] - 1
-        for at, ok in ((b - 1, b > 0), (b, b < last)):
-            i = np.flatnonzero(ok)
-            moved_rank[i, at[i]], moved_piece[i, at[i]] = _lookup(model, sym_g[i, at[i]], sym_g[i, at[i] + 1])
-        i = np.flatnonzero((b >= last) & (b <= width - 2))  # what was joined stands last: there is no pair to its right
-        moved_rank[i, b[i]] = _NONE
-        rank[g], piece[g] = moved_rank, moved_piece
-
-
-def encode_runs(model: Model, runs: list[str], salts: np.ndarray, p: float, marks: dict[str, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all runs one after another, and how many each has. A salt tells equal runs apart."""
-    size = np.fromiter(map(len, runs), np.int64, len(runs))
-    order = np.argsort(size, kind="stable")
-    counts = np.zeros(len(runs), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []  # some runs, their ids padded
-    lone: dict[int, list[int]] = {}
-    cuts = np.flatnonzero(np.diff(size[order])) + 1
-    for same in np.split(order, cuts) if len(runs) else []:
-        width = int(size[same[0]])
-        odd = same
-        if width <= LONG:
-            codes = _codes([runs[i] for i in same.tolist()], width)
-            sym = model.char[codes]
-            whole = (sym >= 0).all(axis=1)
-            odd, sym, codes = same[~whole], sym[whole], codes[whole]
-            for k in range(0, len(sym), 1 << 16):
-                part = same[whole][k : k + (1 << 16)]
-                ids, counts[part] = _encode_equal(model, sym[k : k + (1 << 16)], bases_of(codes[k : k + (1 << 16)], salts[part]), p)
-                found.append((part, ids))
-        lone.update((i, encode_run(model, runs[i], base_of(runs[i], int(salts[i])), p, marks)) for i in odd.tolist())
-    for i, ids in lone.items():
-        counts[i] = len(ids)
-    ends = np.cumsum(counts)
-    flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
-    for part, ids in found:
-        used = counts[part]
-        inside = np.arange(ids.shape[1]) < used[:, None]
-        at = (ends[part] - used)[:, None] + np.arange(ids.shape[1])
-        flat[at[inside]] = ids[inside]
-    for i, ids in lone.items():
-        flat[ends[i] - len(ids) : ends[i]] = ids
-    return flat, counts
+        new = (sym, start, rank, piece, size, np.where(live, best, -1), start[each, best], piece[each, best], np.full((n, 2), -1))
+        if self.n + n > len(self.size):
+            for x in self._PARTS:
+                old = getattr(self, x)
+                grown = np.zeros((max(256, 2 * len(old), self.n + n), *old.shape[1:]), old.dtype)
+                grown[: self.n] = old[: self.n]
+                setattr(self, x, grown)
+        for x, v in zip(self._PARTS, new, strict=True):
+            getattr(self, x)[self.n : self.n + n] = v
+        self.n += n
+        return np.arange(self.n - n, self.n, dtype=np.int32)
+
+    def begin(self, sym: np.ndarray) -> np.ndarray:
+        """First states of runs, given by their characters' pieces."""
+        n = len(sym)
+        rank, piece = _lookup(self.model, sym[:, :-1], sym[:, 1:]) if self.width > 1 else (np.full((n, 1), _NONE), np.zeros((n, 1), np.int32))
+        return self._add(sym, np.broadcast_to(np.arange(self.width, dtype=np.int8), sym.shape), rank, piece, np.full(n, self.width))
+
+    def _follow(self, steps: np.ndarray) -> None:
+        """Work out the states after ``steps``: twice the state's number, one more where its best candidate is joined."""
+        at, joined = steps >> 1, np.flatnonzero(steps & 1)
+        sym, start, rank, piece, size, best = (getattr(self, x)[at] for x in ("sym", "start", "rank", "piece", "size", "best"))
+        rank[np.arange(len(at)), best] = _NONE
+        if len(joined):
+            b, each, width = best[joined].astype(np.int64), np.arange(len(joined)), self.width
+            cols = np.arange(width)
+            take = np.minimum(cols + (cols > b[:, None]), width - 1)
+            moved = np.take_along_axis(sym[joined], take, 1)
+            moved[each, b] = piece[joined, b]
+            sym[joined], start[joined] = moved, np.take_along_axis(start[joined], take, 1)
+            take = take[:, :-1].clip(max=width - 2)
+            moved_rank, moved_piece = np.take_along_axis(rank[joined], take, 1), np.take_along_axis(piece[joined], take, 1)
+            moved_rank[:, -1] = _NONE
+            size[joined] -= 1
+            last = size[joined] - 1
+            for i_at, ok in ((b - 1, b > 0), (b, b < last)):
+                i = np.flatnonzero(ok)
+                moved_rank[i, i_at[i]], moved_piece[i, i_at[i]] = _lookup(self.model, moved[i, i_at[i]], moved[i, i_at[i] + 1])
+            i = np.flatnonzero((b >= last) & (b <= width - 2))  # what was joined stands last: there is no pair to its right
+            moved_rank[i, b[i]] = _NONE
+            rank[joined], piece[joined] = moved_rank, moved_piece
+        self.next.reshape(-1)[steps] = self._add(sym, start, rank, piece, size)
+
+    def walk(self, state: np.ndarray, base: np.ndarray, p: float) -> np.ndarray:
+        """Last states of runs that begin in ``state``; ``base`` is each run's own."""
+        state = state.copy()
+        go = np.flatnonzero(self.best[state] >= 0)
+        while len(go):
+            here = state[go]
+            step = here.astype(np.int64) * 2 + (_chance(base[go], self.place[here], self.makes[here]) >= p if p else 1)
+            after = self.next.reshape(-1)[step]
+            if (new := after < 0).any():
+                self._follow(np.unique(step[new]))
+                after = self.next.reshape(-1)[step]
+            state[go] = after
+            go = go[self.best[after] >= 0]
+        return state
+
+
+class Runs:
+    """Segments runs; keeps what it has worked out, within bounds. Results don't depend on what is kept."""
+
+    def __init__(self, model: Model, p: float):
+        self.model, self.p = model, p
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.names: list[str] = []
+        self.width = np.zeros(0, np.int64)  # by number; 0 for runs that go one by one
+        self.first = np.zeros(0, np.int32)  # by number; -1 where the first state isn't there
+        self.states: dict[int, States] = {}
+
+    def _numbers(self, runs: list[str]) -> np.ndarray:
+        if len(self.number) > NAMES:
+            self._forget()
+        found = np.fromiter(map(self.number.__getitem__, runs), np.int64, len(runs))
+        new = list(islice(self.number, len(self.names), None))
+        if new:
+            char = self.model.char
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            known = char[np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)] >= 0
+            whole = np.logical_and.reduceat(known, np.r_[0, np.cumsum(sizes)[:-1]])
+            self.names += new
+            self.width = np.r_[self.width, np.where(whole & (sizes <= LONG), sizes, 0)]
+            self.first = np.r_[self.first, np.full(len(new), -1, np.int32)]
+        return found
+
+    def encode(self, runs: list[str], bases: np.ndarray, marks: dict[str, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs one after another, and how many each has. Each run has a base of its own."""
+        number = self._numbers(runs)
+        width = self.width[number]
+        order = np.argsort(width, kind="stable")
+        counts = np.zeros(len(runs), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # some runs, their ids padded
+        lone: dict[int, list[int]] = {}
+        for same in np.split(order, np.flatnonzero(np.diff(width[order])) + 1) if len(runs) else []:
+            w = int(width[same[0]])
+            if not w:
+                lone = {i: encode_run(self.model, runs[i], int(bases[i]), self.p, marks) for i in same.tolist()}
+                continue
+            states = self.states.setdefault(w, States(self.model, w))
+            for k in range(0, len(same), WALK // w):
+                part = same[k : k + WALK // w]
+                numbers = number[part]
+                new = np.unique(numbers[self.first[numbers] < 0])
+                if len(new):
+                    self.first[new] = states.begin(self.model.char[_codes([self.names[i] for i in new.tolist()], w)])
+                last = states.walk(self.first[numbers], bases[part], self.p)
+                counts[part] = states.size[last]
+                found.append((part, states.sym[last]))
+                if states.nbytes() > STATE_BYTES:
+                    states = self.states[w] = States(self.model, w)
+                    self.first[self.width == w] = -1
+        for i, ids in lone.items():
+            counts[i] = len(ids)
+        ends = np.cumsum(counts)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        for part, ids in found:
+            used = counts[part]
+            inside = np.arange(ids.shape[1]) < used[:, None]
+            at = (ends[part] - used)[:, None] + np.arange(ids.shape[1])
+            flat[at[inside]] = ids[inside]
+        for i, ids in lone.items():
+            flat[ends[i] - len(ids) : ends[i]] = ids
+        return flat, counts
 
 
 class Encoder:
     """Encodes texts under one seed; results don't depend on which texts come together."""
 
     def __init__(self, model: Model, p: float, seed: int):
-        self.model, self.p, self.seed = model, p, seed
+        self.model, self.p, self.seed, self.runs = model, p, seed, Runs(model, p)
 
     def _runs(self, text: str) -> tuple[list[str], np.ndarray, dict[str, bytes] | None]:
-        """Runs of a text with their variants. A space mark in the text itself must not pass for a space: it is stood in
+        """Runs of a text with their bases. A space mark in the text itself must not pass for a space: it is stood in
         for by a character that the text doesn't have and no piece has, and gives that mark's bytes."""
         marks = None
         if SPACE in text:
             stand_in = next(c for c in map(chr, range(0xF0000, 0x10FFFF)) if c not in text and self.model.char[ord(c)] < 0)
             text, marks = text.replace(SPACE, stand_in), {stand_in: SPACE.encode()}
         runs = _RUN.findall(SPACE + text.replace(" ", SPACE)) if text else []
-        if not self.p:
-            return runs, np.zeros(len(runs), np.int64), marks
-        key = np.uint64(xxhash.xxh64_intdigest(text.encode(), self.seed & (1 << 64) - 1))
-        x = (np.arange(len(runs), dtype=np.uint64) + key) * _A
-        return runs, ((x >> np.uint64(40)) % np.uint64(VARIANTS)).astype(np.int64), marks
-
-    def _salts(self, variants: np.ndarray) -> np.ndarray:
-        return variants.astype(np.uint64) + np.uint64(self.seed * VARIANTS & (1 << 64) - 1)
+        key = xxhash.xxh64_intdigest(text.encode(), self.seed & (1 << 64) - 1) if self.p else 0
+        return runs, bases_of(key, len(runs)), marks
 
     def _encode_step(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of some texts. Each run in each variant is worked out once, however often it stands in them."""
-        number: defaultdict[str, int] = defaultdict(count().__next__)
-        keys, ends, alone = [], [], {}
+        """Ids of some texts."""
+        every, bases, ends, alone = [], [], [], {}
         for i, text in enumerate(texts):
-            runs, variants, marks = self._runs(text)
+            runs, own, marks = self._runs(text)
             if marks:
-                alone[i] = encode_runs(self.model, runs, self._salts(variants), self.p, marks)[0]
-                runs, variants = [], variants[:0]
-            keys.append(np.fromiter(map(number.__getitem__, runs), np.int64, len(runs)) * VARIANTS + variants)
-            ends.append(len(runs))
-        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-        names = list(number)
-        flat, counts = encode_runs(self.model, [names[w] for w in (unique // VARIANTS).tolist()], self._salts(unique % VARIANTS), self.p)
-        starts, n = np.cumsum(counts) - counts, counts[place]
-        after = np.cumsum(n)
-        ids = flat[np.arange(int(after[-1]) if len(after) else 0) + np.repeat(starts[place] - (after - n), n)]
-        cuts = np.r_[0, after][np.cumsum(ends)]
-        return [alone.get(i, x) for i, x in enumerate(np.split(ids, cuts[:-1]))]
+                alone[i] = self.runs.encode(runs, own, marks)[0]
+                runs, own = [], own[:0]
+            every += runs
+            bases.append(own)
+            ends.append(len(every))
+        flat, counts = self.runs.encode(every, np.concatenate(bases))
+        cuts = np.r_[0, np.cumsum(counts)][ends]
+        return [alone.get(i, x) for i, x in enumerate(np.split(flat, cuts[:-1]))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -319,8 +382,8 @@ def _encoder(path: str, p: float, seed: int) -> Encoder:
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: str | None = None, dropout: float = DROPOUT, seed: int = 1) -> DataFrame:
     """``df`` with ``out_col``: ids of each whole text under ``seed``; without dropout the model's plain segmentation.
 
-    Null text gives null, empty text an empty list. Equal texts under one seed have equal ids. Rows and other columns
-    stay; a column named ``out_col`` is replaced.
+    Null text gives null, empty text an empty list. Equal texts under one seed have equal ids. Rows, repeated ones too,
+    and other columns stay; a column named ``out_col`` is replaced. An empty table gives none.
     """
     path = model or default_model()
 
@@ -348,6 +411,7 @@ def decode_column(df: DataFrame, ids_col: str = "ids", out_col: str = "text", mo
 def segmentation_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = DROPOUT, seed: int = 1) -> DataFrame:
     """Rows (id_col, n_chars, n_ids, ids_crc32, lossless), one per row: how its text was segmented, and whether decoding
     those ids gives the text again. ids_crc32 is of the ids as little-endian 32-bit numbers. Null text counts as empty.
+    Repeated rows come back repeated and alike; other columns are ignored; an empty table gives none.
     """
     path = model or default_model()
 
