@@ -7,8 +7,8 @@ the run, and the piece; new neighbours make new candidates. Pieces then differ f
 text, so decoding restores it exactly.
 
 No piece of such a model joins a space mark to what stands before it, so the runs between (space marks, then a word) are
-segmented one by one. Equal runs go through the same states of the agenda until their hashes part them: each state is
-worked out once, and only the hashes are taken for every place.
+segmented one by one. Equal runs go through the same states of the agenda until their hashes part them: where a run
+stands more than once each state is worked out once, and only the hashes are taken for every place.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ LONG = 32
 #: states are forgotten and worked out again.
 WALK = 1 << 17
 STATE_BYTES = 1 << 24
-NAMES = 200_000
+NAMES = 400_000
 #: Line ends and tabs stand alone: no piece joins them to anything.
 _ALONE = "\n\t"
 _RUN = re.compile(f"{SPACE}*[^{SPACE}{_ALONE}]+|{SPACE}+|[{_ALONE}]")
@@ -166,6 +166,48 @@ def _lookup(model: Model, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarr
     return np.where(model.pairs[at] == key, model.rank[piece], _NONE), piece
 
 
+def _encode_equal(model: Model, sym: np.ndarray, base: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of runs of one length, each for itself: (rows x length, what is used of each)."""
+    n, width = sym.shape
+    out, used = sym.copy(), np.full(n, width)
+    if width == 1:
+        return out, used
+    rank, piece = _lookup(model, sym[:, :-1], sym[:, 1:])
+    start = np.broadcast_to(np.arange(width, dtype=np.int32), sym.shape).copy()
+    row, size = np.arange(n), np.full(n, width)
+    cols = np.arange(width)
+    while True:
+        each = np.arange(len(row))
+        best = rank.argmin(axis=1)
+        live = rank[each, best] < _NONE
+        if 4 * np.count_nonzero(live) < 3 * len(row):  # let go of finished rows once they are many
+            done = ~live
+            out[row[done]], used[row[done]] = sym[done], size[done]
+            sym, start, rank, piece, base, row, size, best = (x[live] for x in (sym, start, rank, piece, base, row, size, best))
+            if not len(row):
+                return out, used
+            each, live = each[: len(row)], live[live]
+        rank[each, best] = _NONE
+        go = live & (_chance(base, start[each, best], piece[each, best]) >= p) if p else live
+        g = np.flatnonzero(go)
+        b = best[g]
+        take = np.minimum(cols + (cols > b[:, None]), width - 1)
+        sym_g = np.take_along_axis(sym[g], take, 1)
+        sym_g[np.arange(len(g)), b] = piece[g, b]
+        sym[g], start[g] = sym_g, np.take_along_axis(start[g], take, 1)
+        take = take[:, :-1].clip(max=width - 2)
+        moved_rank, moved_piece = np.take_along_axis(rank[g], take, 1), np.take_along_axis(piece[g], take, 1)
+        moved_rank[:, -1] = _NONE
+        size[g] -= 1
+        last = size[g] - 1
+        for at, ok in ((b - 1, b > 0), (b, b < last)):
+            i = np.flatnonzero(ok)
+            moved_rank[i, at[i]], moved_piece[i, at[i]] = _lookup(model, sym_g[i, at[i]], sym_g[i, at[i] + 1])
+        i = np.flatnonzero((b >= last) & (b <= width - 2))  # what was joined stands last: there is no pair to its right
+        moved_rank[i, b[i]] = _NONE
+        rank[g], piece[g] = moved_rank, moved_piece
+
+
 class States:
     """States of the agenda over runs of one length, each worked out once: its symbols, the candidates left, and the
     states that follow if the best one is skipped or joined."""
@@ -282,7 +324,7 @@ class Runs:
     def encode(self, runs: list[str], bases: np.ndarray, marks: dict[str, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all runs one after another, and how many each has. Each run has a base of its own."""
         number = self._numbers(runs)
-        width = self.width[number]
+        times, width = np.bincount(number, minlength=len(self.names)), self.width[number]
         order = np.argsort(width, kind="stable")
         counts = np.zeros(len(runs), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []  # some runs, their ids padded
@@ -292,6 +334,13 @@ class Runs:
             if not w:
                 lone = {i: encode_run(self.model, runs[i], int(bases[i]), self.p, marks) for i in same.tolist()}
                 continue
+            # A run that stands once shares its states with none, so they aren't kept.
+            alone = (times[number[same]] == 1) & (self.first[number[same]] < 0)
+            for k in range(0, np.count_nonzero(alone), WALK // w):
+                part = same[alone][k : k + WALK // w]
+                ids, counts[part] = _encode_equal(self.model, self.model.char[_codes([runs[i] for i in part.tolist()], w)], bases[part], self.p)
+                found.append((part, ids))
+            same = same[~alone]
             states = self.states.setdefault(w, States(self.model, w))
             for k in range(0, len(same), WALK // w):
                 part = same[k : k + WALK // w]
