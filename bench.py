@@ -77,7 +77,10 @@ def main() -> None:
     catalogue.QUERIES["knn_l2_batch"](spark, SF_DIR).collect()  # starts Python workers
     seconds = {n: best(lambda n=n: catalogue.QUERIES[n](spark, SF_DIR)) for n in HEADLINE}
     work = {n: synthetic(spark, *w, graphs=n == "10k") for n, w in WORKLOADS.items()}
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")), "cores": CPUS, "synthetic": work}))
+    rows, _, dim, k = WORKLOADS["10k"]
+    graph = work["10k"]
+    harness = {"config": {"dim": dim, "n_train": rows, "k": k, "metric": "l2", "quant": "none"}, "results": [{"ef": ef, "qps": graph[f"hnsw_ef{ef}"]["qps"], "recall_at_k": graph[f"hnsw_ef{ef}"]["recall_at_k"]} for ef in (10, 50, 100)]}
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")), "cores": CPUS, "synthetic": work, "harness": harness}))
     sys.stdout.flush()
     spark.stop()
 

@@ -39,9 +39,9 @@ def assign_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 def knn_ivf(cells: DataFrame, queries: DataFrame, k: int, metric: str, centres: np.ndarray, probes: int) -> DataFrame:
     """Rows (qid, rank, id, distance): each query against the rows of the ``probes`` cells nearest to it.
 
-    Probed cells are told by a literal list for pruning at the scan, then by a join on the cell. Approximate: a row in a
-    cell that isn't probed can't be hit. Query sets beyond
-    ``knn.BROADCAST_BYTES`` are searched in parts.
+    Probed cells are told by a literal list for pruning at the scan; tasks get the queries once, with their cells, and
+    compare each cell's rows with the queries that probe it. Approximate: a row in a cell that isn't probed can't be hit;
+    ``knn.knn`` is the exact way, as are all cells. Query sets beyond ``knn.BROADCAST_BYTES`` are searched in parts.
     """
     return K.in_parts(queries, lambda part: _knn_ivf(cells, part, k, metric, centres, probes))
 
@@ -49,9 +49,20 @@ def knn_ivf(cells: DataFrame, queries: DataFrame, k: int, metric: str, centres:
 def _knn_ivf(cells: DataFrame, queries: DataFrame, k: int, metric: str, centres: np.ndarray, probes: int) -> DataFrame:
     qids, q = K.query_matrix(queries)
     near = D.kernel("l2")(q, centres)
-    chosen = np.argsort(near, axis=1, kind="stable")[:, :probes] if len(q) else np.zeros((0, 0), int)
-    rows = [(i, v.tolist(), int(c)) for i, v, cs in zip(qids, q, chosen, strict=True) for c in cs]
-    asked = cells.sparkSession.createDataFrame(rows, "qid long, q array<float>, pcell int")
-    wanted = sorted({c for *_, c in rows})
-    hits = cells.where(F.col("cell").isin(wanted)).join(F.broadcast(asked), F.col("cell") == F.col("pcell"))
-    return K.top_k(hits.select("qid", "id", D.distance(metric, F.col("q"), F.col("vec")).alias("distance")), k).select("qid", "rank", "id", "distance")
+    chosen = np.argsort(near, axis=1, kind="stable")[:, :probes].astype(np.int32) if len(q) else np.zeros((0, 0), np.int32)
+    wanted = np.unique(chosen).tolist()
+    numbers = np.asarray(qids, np.int64)
+
+    def run(batches):
+        for b in batches:
+            x, ok = K._matrix(b.column(2), centres.shape[1])
+            cell, ids = (b.column(i).to_numpy(zero_copy_only=False)[ok] for i in (0, 1))
+            for c in np.unique(cell):
+                asking, there = np.flatnonzero((chosen == c).any(axis=1)), cell == c
+                if len(asking) and k:
+                    best = K._Best(numbers[asking], q[asking], k, metric)
+                    best.add(ids[there], x[there])
+                    yield from best.rows().to_batches()
+
+    hits = cells.select("cell", "id", "vec").where(F.col("cell").isin(wanted) & F.col("id").isNotNull()).mapInArrow(run, "qid long, id long, distance double")
+    return K.top_k(hits, k).select("qid", "rank", "id", "distance")

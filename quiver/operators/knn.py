@@ -76,12 +76,12 @@ def knn_sql(vectors: DataFrame, queries: DataFrame, k: int, metric: str, where:
 class _Best:
     """The k nearest rows so far of each query, with their vectors for the exact distance."""
 
-    def __init__(self, qids: list, q: np.ndarray, k: int, metric: str):
+    def __init__(self, qids: list, q: np.ndarray, k: int, metric: str, kind: type = np.float32):
         self.qids, self.q, self.k, self.metric = qids, q, k, metric
         self.kernel = D.kernel(metric)
         self.dist = np.full((len(q), 0), np.inf)
         self.ids = np.zeros((len(q), 0), np.int64)
-        self.vecs = np.zeros((len(q), 0, q.shape[1]), np.float32)
+        self.vecs = np.zeros((len(q), 0, q.shape[1]), kind)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         step = max(1, BLOCK_CELLS // max(1, len(self.q)))

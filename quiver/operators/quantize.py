@@ -61,14 +61,29 @@ def sq8_decode(code: Column, book: Sq8Codebook) -> Column:
     return F.zip_with(F.zip_with(code, book.column("step"), lambda c, s: c * s), book.column("low"), lambda v, lo: v + lo)
 
 
-def knn_sq8(codes: DataFrame, queries: DataFrame, k: int, metric: str, book: Sq8Codebook, where: Column | None = None) -> DataFrame:
+def knn_sq8(codes: DataFrame, queries: DataFrame, k: int, metric: str, book: Sq8Codebook) -> DataFrame:
     """Rows (qid, rank, id, distance): plain queries against decoded codes, ``codes`` being (id, code).
 
-    Decoding is a step of the scan, so the codes are all that is read.
+    Codes are decoded a batch at a time, so they are all that is read. Query sets beyond ``knn.BROADCAST_BYTES`` are
+    searched in parts.
     """
-    kind = "float" if D.metric_name(metric) == "hamming" else "double"
-    vec = F.transform(sq8_decode(F.col("code"), book), lambda v: v.cast(kind))
-    return K.knn_sql(codes.select("id", vec.alias("vec"), *([c for c in codes.columns if c not in ("id", "code", "vec")])), queries, k, metric, where)
+    return K.in_parts(queries, lambda part: _knn_sq8(codes, part, k, metric, book))
+
+
+def _knn_sq8(codes: DataFrame, queries: DataFrame, k: int, metric: str, book: Sq8Codebook) -> DataFrame:
+    qids, q = K.query_matrix(queries)
+    low, step = np.array(book.low), np.array(book.step)
+
+    def run(batches):
+        best = K._Best(qids, q, k, metric, np.float64)
+        for b in batches:
+            x, ok = K._matrix(b.column(1), len(low))
+            if len(x) and len(qids) and k and q.shape[1] == len(low):
+                best.add(b.column(0).to_numpy(zero_copy_only=False)[ok], x * step + low)
+        yield from best.rows().to_batches()
+
+    rows = codes.select(F.col("id").cast("long").alias("id"), "code").where("id is not null and code is not null")
+    return K.top_k(rows.mapInArrow(run, "qid long, id long, distance double"), k).select("qid", "rank", "id", "distance")
 
 
 def rerank(hits: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:

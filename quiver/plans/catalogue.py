@@ -9,12 +9,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiver.engine import Engine, Namespace
 from quiver.functions import distance as D
 from quiver.functions import filters as P
 from quiver.operators import hnsw, ivf, knn, lww, quantize
+from quiver.plans.model import Config
+from quiver.sources import wire
 from quiver.streaming import ingest
 
 K_NEAR = 10
@@ -35,8 +39,11 @@ def asked(vecs: DataFrame) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quiver"
-    return f"{base.rstrip('/')}/plans-{uuid.uuid4().hex}"
+    """A new folder in that which driver and executors share. Only a local session may have none set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: it names the folder that driver and executors share")
+    return f"{(base or '/tmp/checkpoints/quiver').rstrip('/')}/plans-{uuid.uuid4().hex}"
 
 
 def _rounded(hits: DataFrame) -> DataFrame:
@@ -285,24 +292,190 @@ def knn_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.knn_hnsw(hnsw.build_index(v, "l2", 2000), asked(v), K_NEAR, "l2", 100)
 
 
+#: What the registered approximate searches must reach of the exact one's rows.
+LEAST_RECALL = 0.9
+
+
+def _enough(hits: DataFrame, v: DataFrame) -> DataFrame:
+    """One row: how many queries there are, and whether the share of the exact hits found is ``LEAST_RECALL`` or more."""
+    q = asked(v)
+    share = knn.recall(hits, knn.knn(v, q, K_NEAR, "l2"), K_NEAR)
+    return share.select((F.col("recall") >= LEAST_RECALL).alias("enough")).crossJoin(q.agg(F.count("*").alias("n_queries")))  # one row each
+
+
 def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enough(knn_hnsw(spark, sf_dir), vectors(spark, sf_dir))
+
+
+def knn_hnsw_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A beam as wide as a segment reaches all of its nodes, so the hits are the exact ones."""
     v = vectors(spark, sf_dir)
-    return knn.recall(knn_hnsw(spark, sf_dir), knn.knn(v, asked(v), K_NEAR, "l2"), K_NEAR)
+    return _rounded(hnsw.knn_hnsw(hnsw.build_index(v, "l2", 250), asked(v), K_NEAR, "l2", 1000))
 
 
-def _ivf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _ivf(spark: SparkSession, sf_dir: str, probes: int = 12) -> tuple[DataFrame, DataFrame]:
     v = vectors(spark, sf_dir)
     centres = ivf.train_centres(v, 16)
-    return ivf.knn_ivf(ivf.assign_cells(v, centres), asked(v), K_NEAR, "l2", centres, 12), v
+    return ivf.knn_ivf(ivf.assign_cells(v, centres), asked(v), K_NEAR, "l2", centres, probes), v
 
 
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ivf(spark, sf_dir)[0]
 
 
+def knn_ivf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells probed: the hits are the exact ones."""
+    return _rounded(_ivf(spark, sf_dir, 16)[0])
+
+
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, v = _ivf(spark, sf_dir)
-    return knn.recall(hits, knn.knn(v, asked(v), K_NEAR, "l2"), K_NEAR)
+    return _enough(*_ivf(spark, sf_dir))
+
+
+SIGN_PARTS = 32
+
+
+def _signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of plus and minus one. Few patterns fill a part, so a codebook holds them all and loses nothing."""
+    v = vectors(spark, sf_dir)
+    return v.withColumn("vec", F.transform("vec", lambda x: F.when(x < 0, -1.0).otherwise(1.0).cast("float")))
+
+
+def pq_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _signs(spark, sf_dir)
+    book = quantize.pq_train(v, SIGN_PARTS)
+    back = quantize.pq_decode(quantize.pq_encode(v, book), book).select("id", F.posexplode("vec").alias("pos", "x"))
+    return back.select("id", "pos", F.col("x").cast("double").alias("x"))
+
+
+def _knn_pq_signs(metric: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = _signs(spark, sf_dir)
+        book = quantize.pq_train(v, SIGN_PARTS)
+        return _rounded(quantize.knn_pq(quantize.pq_encode(v, book), asked(v), K_NEAR, metric, book))
+
+    return run
+
+
+def _engine(spark: SparkSession) -> Engine:
+    return Engine(spark, _shared(spark))
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """One row for each component of a collection's vectors, with the text and the number of its metadata."""
+    each = rows.select("id", F.posexplode("vec").alias("pos", "x"), F.col("meta")["parity"]["s"].alias("parity"), F.col("meta")["label"]["d"].alias("label"))
+    return each.withColumn("x", F.round(F.col("x").cast("double"), 6) + F.lit(0.0))
+
+
+def _written(spark: SparkSession, sf_dir: str, **config) -> Namespace:
+    """A collection: all vectors, then every 7th deleted, every 11th turned round, a snapshot, every 13th deleted."""
+    v = _metadata(vectors(spark, sf_dir))
+    dim = v.agg(F.max(F.size("vec"))).first()[0]
+    ns = _engine(spark).create("c", Config(dim=dim, segment_max_size=100, **config))
+    ns.upsert_frame(v.select("id", "vec", "meta"))
+    for every in (7, 13):
+        ids = v.where(f"id % {every} = 0").select("id", F.lit(0).cast("bigint").alias("pos"))
+        ns.delete_frame(ids)
+        if every == 7:
+            ns.upsert_frame(v.where("id % 11 = 0").select("id", F.transform("vec", lambda x: -x).alias("vec"), "meta"))
+            ns.checkpoint()
+    return ns
+
+
+def collection_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_written(spark, sf_dir).live())
+
+
+def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ns = _written(spark, sf_dir)
+    sealed = ns.segments()
+    s = ns.stats()
+    return spark.createDataFrame([(s["size"], s["deleted"], sum(sealed.values()), len(sealed) > 1)], "size long, deleted long, sealed long, dealt boolean")
+
+
+def collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ns = _written(spark, sf_dir)
+    hits = ns.search(asked(vectors(spark, sf_dir)), K_NEAR, P.parse(_CONDITION[0]))
+    return _rounded(hits).join(hits.select("qid", "id", F.col("meta")["parity"]["s"].alias("parity")), ["qid", "id"])
+
+
+def collection_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes stored by training, before and after later writes."""
+    v = vectors(spark, sf_dir)
+    ns = _engine(spark).create("c", Config(dim=v.agg(F.max(F.size("vec"))).first()[0], quant_mode="sq8"))
+    none = F.lit(None).cast(P.META_TYPE).alias("meta")
+    ns.upsert_frame(v.select("id", "vec", none))
+    ns.train()
+    ns.delete_frame(v.where("id % 7 = 0").select("id", F.lit(0).cast("bigint").alias("pos")))
+    ns.upsert_frame(v.where("id % 14 = 0").select("id", "vec", none))
+    return _rounded(ns.search(asked(v), K_NEAR, mode="quantized"))
+
+
+def collection_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs stored, then searched with later writes beside them; the beam is as wide as a segment."""
+    v = vectors(spark, sf_dir)
+    ns = _engine(spark).create("c", Config(dim=v.agg(F.max(F.size("vec"))).first()[0], segment_max_size=250))
+    none = F.lit(None).cast(P.META_TYPE).alias("meta")
+    ns.upsert_frame(v.where("id % 5 > 0").select("id", "vec", none))
+    ns.index()
+    ns.delete_frame(v.where("id % 7 = 0").select("id", F.lit(0).cast("bigint").alias("pos")))
+    ns.upsert_frame(v.where("id % 5 = 0").select("id", "vec", none))
+    return _rounded(ns.search(asked(v), K_NEAR, mode="graph", ef=1000))
+
+
+def registry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _engine(spark)
+    for name, metric in (("a", "l2"), ("b", "cosine"), ("c", "dot"), ("a", "l1")):
+        e.create(name, Config(dim=8, metric=metric))
+    e.drop("b")
+    e.drop("c")
+    e.create("c", Config(dim=9, metric="hamming"))
+    again = Engine(spark, e.root)  # as after a restart
+    return spark.createDataFrame([(n, again.namespace(n).config.dim, again.namespace(n).config.metric) for n in again.list()], "name string, dim int, metric string")
+
+
+def json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries written as JSON lines, every tenth in a batch of one, and upserted from there."""
+    v = _metadata(vectors(spark, sf_dir))
+    plain = F.struct("id", F.col("vec").alias("vector"), F.struct((F.col("meta")["parity"]["s"]).alias("parity"), (F.col("meta")["label"]["d"]).alias("label")).alias("metadata"))
+    one = F.to_json(plain)
+    path = _shared(spark)
+    v.select(F.when(F.col("id") % 10 == 0, F.concat(F.lit('{"entries": ['), one, F.lit("]}"))).otherwise(one).alias("value")).write.text(path)
+    e = _engine(spark)
+    ns = e.create("c", Config(dim=v.agg(F.max(F.size("vec"))).first()[0]))
+    e.ingest_json("c", path)
+    return _flat(ns.live())
+
+
+def binary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries sent as binary messages, and upserted from there."""
+    v = _metadata(vectors(spark, sf_dir))
+
+    def send(batches):
+        for b in batches:
+            made = [wire.encode("UpsertRequest", {"namespace": "c", "id": r["id"], "vector": r["vec"], "metadata": {k: x for k, x in (("parity", r["p"]), ("label", r["l"])) if x is not None}}) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+
+    messages = v.select("id", "vec", F.col("meta")["parity"]["s"].alias("p"), F.col("meta")["label"]["d"].alias("l")).mapInArrow(send, "value binary")
+    e = _engine(spark)
+    ns = e.create("c", Config(dim=v.agg(F.max(F.size("vec"))).first()[0]))
+    e.ingest_messages(messages)
+    return _flat(ns.live())
+
+
+def requests_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection made, filled, searched and counted by requests alone: the nearest of id 0 among the first labels."""
+    v = vectors(spark, sf_dir)
+    e = _engine(spark)
+    dim = v.agg(F.max(F.size("vec"))).first()[0]
+    e.request("POST", "/namespaces", {"name": "c", "config": {"dim": dim, "m": 16, "m0": 32, "ef_construction": 200, "metric": "l2", "max_elements": 1000}})
+    rows = v.where("label < 4").collect()  # the entries of one request, at any size those of a few labels
+    e.request("POST", "/namespaces/c/vectors/batch", {"entries": [{"id": r.id, "vector": r.vec, "metadata": {"label": r.label}} for r in rows]})
+    e.request("DELETE", "/namespaces/c/vectors/0")
+    found = e.request("POST", "/namespaces/c/search", {"query": v.where("id = 0").first().vec, "k": K_NEAR, "ef": 50, "filter": {"type": "compare", "key": "label", "op": "gte", "value": 1}})[1]
+    stats = e.request("GET", "/stats")[1]
+    frame = spark.createDataFrame([(r["id"], r["distance"], r["metadata"]["label"], stats["total_vectors"], stats["upserts"]) for r in found], "id long, distance double, label double, total_vectors long, upserts long")
+    return frame.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
 _METRICS = ("l2", "cosine", "dot", "l1", "hamming")
@@ -338,11 +511,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hnsw_recall": hnsw_recall,
     "knn_ivf": knn_ivf,
     "ivf_recall": ivf_recall,
+    "knn_hnsw_full": knn_hnsw_full,
+    "knn_ivf_full": knn_ivf_full,
+    "pq_signs": pq_signs,
+    **{f"knn_pq_signs_{m}": _knn_pq_signs(m) for m in _METRICS},
+    "collection_live": collection_live,
+    "collection_counts": collection_counts,
+    "collection_search": collection_search,
+    "collection_quantized": collection_quantized,
+    "collection_graph": collection_graph,
+    "registry_list": registry_list,
+    "json_entries": json_entries,
+    "binary_entries": binary_entries,
+    "requests_answered": requests_answered,
 }
 
 _RANKED = "SELECT qid, rank::INTEGER AS rank, id, round(distance, 6) + 0.0::DOUBLE AS distance"
 _PASS = f"v.id IN (SELECT id FROM ({_LABELS}) WHERE {_CONDITION[1]})"
 
+_SIGNS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x < 0 THEN -1.0 ELSE 1.0 END)::DOUBLE[] AS vec, label FROM embeddings)"
+_ENOUGH = "SELECT true AS enough, count(*) FILTER (vec_id % 100 = 0) AS n_queries FROM embeddings"
+_META = "m AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, CASE WHEN label <> 3 THEN label::DOUBLE END AS label, CASE WHEN label = 3 THEN NULL WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM embeddings)"
+_COLLECTION = f"{_META}, c AS (SELECT id, CASE WHEN id % 11 = 0 THEN list_transform(vec, lambda x: -x) ELSE vec END AS vec, label, parity FROM m WHERE (id % 7 > 0 OR id % 11 = 0) AND id % 13 > 0)"
+_ENTRIES = f"WITH {_META} SELECT id, (generate_subscripts(vec, 1) - 1)::INTEGER AS pos, round(unnest(vec), 6) + 0.0::DOUBLE AS x, parity, label FROM m"
+
 ORACLES: dict[str, str] = {
     "knn_l2_single": _knn_sql("l2", _V, pick="q.id = 0"),
     **{f"knn_{m}_batch": _knn_sql(m) for m in _METRICS},
@@ -374,4 +566,21 @@ ORACLES: dict[str, str] = {
     "recall_sq8": f"""WITH {_DECODED}, d AS (SELECT q.id AS qid, w.id AS id, {_DIST["l2"].replace("v.vec", "w.vec")} AS a, {_DIST["l2"].replace("v.vec", "x.vec")} AS e FROM p q, w JOIN p x ON x.id = w.id WHERE q.id % 100 = 0),
         r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY a, id) AS ra, row_number() OVER (PARTITION BY qid ORDER BY e, id) AS re FROM d)
         SELECT round(avg(n / {K_NEAR}), 6) AS recall FROM (SELECT qid, count(*) FILTER (ra <= {K_NEAR})::DOUBLE AS n FROM r WHERE re <= {K_NEAR} GROUP BY qid)""",
+    "hnsw_recall": _ENOUGH,
+    "ivf_recall": _ENOUGH,
+    "knn_hnsw_full": _knn_sql("l2", _V),
+    "knn_ivf_full": _knn_sql("l2", _V),
+    "pq_signs": f"WITH {_SIGNS} SELECT id, (generate_subscripts(vec, 1) - 1)::INTEGER AS pos, unnest(vec) AS x FROM v",
+    **{f"knn_pq_signs_{m}": _knn_sql(m, _SIGNS) for m in _METRICS},
+    "collection_live": f"WITH {_COLLECTION} SELECT id, (generate_subscripts(vec, 1) - 1)::INTEGER AS pos, round(unnest(vec), 6) + 0.0::DOUBLE AS x, parity, label FROM c",
+    "collection_counts": f"WITH {_COLLECTION} SELECT (SELECT count(*) FROM c) AS size, count(*) FILTER (id % 13 = 0) AS deleted, count(*) FILTER (id % 7 > 0 OR id % 11 = 0) AS sealed, count(*) > 100 AS dealt FROM m WHERE id % 13 = 0 OR id % 7 > 0 OR id % 11 = 0",
+    "collection_search": f"""WITH {_COLLECTION}, d AS (SELECT q.id AS qid, v.id AS id, v.parity, {_DIST["l2"]} AS distance FROM m q, c v WHERE q.id % 100 = 0 AND v.label BETWEEN 2 AND 5)
+        SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY distance, id))::INTEGER AS rank, id, round(distance, 6) + 0.0::DOUBLE AS distance, parity FROM d QUALIFY rank <= {K_NEAR}""",
+    "collection_quantized": _sq8_sql("l2").replace("WHERE q.id % 100 = 0", "WHERE q.id % 100 = 0 AND (w.id % 7 > 0 OR w.id % 14 = 0)"),
+    "collection_graph": _knn_sql("l2", _V, where="v.id % 7 > 0 OR v.id % 5 = 0"),
+    "registry_list": "SELECT * FROM (VALUES ('a', 8, 'l2'), ('c', 9, 'hamming')) AS r(name, dim, metric)",
+    "json_entries": _ENTRIES,
+    "binary_entries": _ENTRIES,
+    "requests_answered": f"""WITH {_V}, r AS (SELECT v.id, {_DIST["l2"]} AS distance, v.label, count(*) OVER () AS n FROM v q, v WHERE q.id = 0 AND v.label BETWEEN 1 AND 3 AND v.id <> 0)
+        SELECT id, round(distance, 6) + 0.0::DOUBLE AS distance, label::DOUBLE AS label, (SELECT count(*) FROM v WHERE label < 4 AND id <> 0) AS total_vectors, (SELECT count(*) FROM v WHERE label < 4) AS upserts FROM r ORDER BY r.distance, id LIMIT {K_NEAR}""",
 }

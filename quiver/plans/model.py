@@ -11,6 +11,12 @@ from quiver.functions.filters import META_TYPE
 QUANTIZATIONS = {"none": "none", "None": "none", "sq8": "sq8", "SQ8": "sq8", "pq": "pq", "PQ": "pq"}
 LOG_SCHEMA = f"seq bigint, pos bigint, op string, id bigint, vec array<float>, meta {META_TYPE}"
 
+#: Settings that a request must name, and how answers spell two others. Fixed values of the service.
+REQUIRED = ("dim", "m", "m0", "ef_construction", "metric", "max_elements")
+ANSWERED = ("dim", "m", "m0", "ef_construction", "metric", "max_elements", "quant_mode", "pq_m")
+METRICS_SPELLED = {"cosine": "Cosine", "l2": "L2", "dot": "DotProduct", "l1": "L1", "hamming": "Hamming"}
+QUANTIZATIONS_SPELLED = {"none": "None", "sq8": "SQ8", "pq": "PQ"}
+
 
 @dataclass(frozen=True)
 class Config:
@@ -46,3 +52,8 @@ class Config:
 
     def as_dict(self) -> dict[str, Any]:
         return asdict(self)
+
+    def as_answer(self) -> dict[str, Any]:
+        """As the service shows it."""
+        shown = {k: v for k, v in self.as_dict().items() if k in ANSWERED}
+        return shown | {"metric": METRICS_SPELLED[self.metric], "quant_mode": QUANTIZATIONS_SPELLED[self.quant_mode]}

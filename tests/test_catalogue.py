@@ -30,8 +30,6 @@ def test_query_equals_sql(spark, sf, duck, name):
 def test_query_runs(spark, sf, name):
     rows = C.QUERIES[name](spark, sf).collect()
     assert rows
-    if name.endswith("_recall"):
-        assert rows[0].recall >= 0.9
 
 
 def test_entry(spark):

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -98,19 +100,61 @@ def test_quantized_modes(engine, quant):
     assert find(ns, (15000, 0, -15000, 0), 1, mode="postfilter", where=P.Compare("i", "lt", 152)) == [150]
 
 
+BODY = {"dim": 4, "m": 8, "m0": 16, "ef_construction": 100, "metric": "l2", "max_elements": 1000}
+
+
 def test_requests(engine):
     go = engine.request
-    assert go("POST", "/namespaces", {"name": "n", "dim": 2, "metric": "cosine"})[0] == 200
-    assert go("POST", "/namespaces/n/vectors", {"id": 1, "vector": [1, 0], "metadata": {"c": "red", "p": 3}})[0] == 200
-    assert go("POST", "/namespaces/n/vectors/batch", '{"entries": [{"id": 2, "vector": [0, 1]}, {"id": 3, "vector": [1, 1]}]}') == (200, {"status": "ok", "count": 2})
-    status, found = go("POST", "/namespaces/n/search", {"query": [1, 0.1], "k": 5, "filter": {"type": "eq", "key": "c", "value": "red"}})
-    assert status == 200 and [(r["id"], r["metadata"]) for r in found["results"]] == [(1, {"c": "red", "p": 3.0})]
-    assert go("DELETE", "/namespaces/n/vectors/2")[0] == 200
-    assert go("GET", "/namespaces/n")[1]["size"] == 2 and go("GET", "/namespaces") == (200, {"namespaces": ["n"]})
-    assert go("GET", "/health")[1]["status"] == "ok" and go("GET", "/stats")[1]["vectors"] == 2
-    assert go("POST", "/namespaces/n/compact")[0] == go("POST", "/namespaces/n/train")[0] == 200
-    assert go("POST", "/namespaces/x/search", {"query": [1, 0]})[0] == go("GET", "/nowhere")[0] == 404
-    assert go("POST", "/namespaces/n/search", {"query": [1]})[0] == go("POST", "/namespaces", "{")[0] == go("POST", "/namespaces/n/search", {"query": [1, 0], "filter": {"type": "?"}})[0] == 400
+    assert go("POST", "/namespaces", {"name": "ns1", "config": BODY}) == (200, {})
+    assert go("POST", "/namespaces/ns1/vectors", {"id": 1, "vector": [1, 0, 0, 0], "metadata": {"info": "test_http", "p": 3}}) == (200, {})
+    status, found = go("POST", "/namespaces/ns1/search", {"query": [1, 0, 0, 0], "k": 1, "ef": 10})
+    assert status == 200 and [(r["id"], r["metadata"]) for r in found] == [(1, {"info": "test_http", "p": 3.0})] and found[0]["distance"] < 1e-5
+    assert go("POST", "/namespaces/ns1/vectors/batch", '{"entries": [{"id": 12, "vector": [12, 0, 0, 0], "metadata": {"tag": "a"}}, {"id": 13, "vector": [13, 0, 0, 0], "metadata": {"tag": "b"}}]}') == (200, {})
+    assert [r["id"] for r in go("POST", "/namespaces/ns1/search", {"query": [12, 0, 0, 0], "k": 1, "ef": 10, "filter": {"type": "eq", "key": "tag", "value": "b"}})[1]] == [13]
+    assert go("DELETE", "/namespaces/ns1/vectors/12") == (200, {})
+    assert [r["id"] for r in go("POST", "/namespaces/ns1/search", {"query": [12, 0, 0, 0], "k": 5, "ef": 10})[1]] == [13, 1]
+    assert go("GET", "/namespaces/ns1") == (200, {"size": 2, "config": BODY | {"metric": "L2", "quant_mode": "None", "pq_m": 8}})
+    assert go("GET", "/namespaces") == (200, ["ns1"]) and set(go("GET", "/health")[1]) == {"status", "uptime_s"}
+    assert go("POST", "/namespaces/ns1/compact") == go("POST", "/namespaces/ns1/train") == (200, {})
+    assert go("POST", "/namespaces/none/search", {"query": [1, 0], "k": 1, "ef": 10})[0] == go("GET", "/nowhere")[0] == 404
+    for path, body in (("/ns1/search", {"query": [1], "k": 1, "ef": 1}), ("/ns1/search", {"query": [1, 0, 0, 0]}), ("", "{"), ("", {"name": "x", "config": {"dim": 4}}), ("", {"name": "x"}), ("/ns1/search", {"query": [1, 0, 0, 0], "k": 1, "ef": 1, "filter": {"type": "?"}})):
+        assert go("POST", "/namespaces" + path, body)[0] == 400
+    assert go("GET", "/stats") == (200, {"namespace_count": 1, "total_vectors": 2, "upserts": 3, "searches": 4, "deletes": 1, "errors": 7})
+    assert go("GET", "/")[0] == 200 and go("DELETE", "/namespaces/ns1") == (200, {}) and go("GET", "/namespaces") == (200, [])
+
+
+def test_segments_codes_and_graphs_are_stored(engine, spark):
+    ns = engine.create("s", Config(dim=4, segment_max_size=3, quant_mode="sq8"))
+    ns.upsert([{"id": i, "vector": [i, 0, 0, 0], "metadata": {"i": i}} for i in range(20)])
+    ns.checkpoint()
+    ns.train()
+    ns.index()
+    assert sum(ns.segments().values()) == 20 and 3 < len(ns.segments()) <= 7
+    ns.delete([5])
+    ns.upsert([{"id": 6, "vector": [90, 0, 0, 0]}, {"id": 50, "vector": [5.2, 0, 0, 0], "metadata": {"i": 50}}])
+    again = Engine(spark, engine.root).namespace("s")
+    for mode in ("exact", "quantized", "graph"):
+        assert find(again, (5.2, 0, 0, 0), 3, mode=mode) == [50, 4, 7], mode
+        assert find(again, (5.2, 0, 0, 0), 2, mode=mode, where=P.Compare("i", "lt", 40)) == [4, 7], mode
+    ns.delete(range(14))
+    ns.compact()
+    assert sum(ns.segments().values()) == 7 and len(ns.segments()) <= 3
+    q = spark.createDataFrame([(0, [15.0, 0.0, 0.0, 0.0])], "qid long, q array<float>")
+    plan = ns.search(q, 3, mode="quantized")._jdf.queryExecution().executedPlan().toString()
+    assert "code" in plan and "vec#" not in plan and find(ns, (15, 0, 0, 0), 1, mode="quantized") == [15]
+
+
+def test_flusher(engine):
+    ns = engine.create("f", Config(dim=4))
+    ns.upsert([unit(1)])
+    engine.start_flusher(0.05)
+    engine.start_flusher(0.05)
+    for _ in range(200):
+        if ns.segments():
+            break
+        time.sleep(0.1)
+    engine.stop_flusher()
+    assert ns.segments() == {0: 1} and engine.namespace("f").stats()["size"] == 1
 
 
 def test_json_files(engine, spark, tmp_path):
