@@ -17,13 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a session without one (tests) gets a local one."""
+    """The folder that driver and executors share. Only a local session may have none set; it gets one of its machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/checkpoints/quiver"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: it names the folder that driver and executors share")
+    return (path or "/tmp/checkpoints/quiver").rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:

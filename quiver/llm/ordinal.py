@@ -11,15 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import per_batch
+from quiver.llm.common import free_name, per_batch
 
 #: Labelled rows that the fit reads at most, and hashed features that get a weight at most: both bound the driver.
 MAX_ROWS = 8000
 MAX_FEATURES = 200_000
-#: A feature gets a weight if its share among the texts at or below some grade differs from the rest by so many
-#: standard errors, and so many labelled texts have it. Rare words that tell grades apart by chance stay out.
-MIN_Z = 8.0
-MIN_ROWS = 5
+#: A feature may get a weight if its share among the texts at or below some grade differs from that of all: so many of
+#: those chosen may be false, whatever the number of features and texts (Benjamini and Hochberg's rule on a bound of the
+#: chance). Of these, the clearest get one, one for so many labelled texts. Both bars move with the number of texts.
+FALSE_SHARE = 0.05
+TEXTS_A_FEATURE = 16
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
 _CAPITAL = re.compile(r"[A-Z]")
 _CACHE = 300_000
@@ -61,6 +62,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _telling(grades: np.ndarray, n_grades: int, row: np.ndarray, col: np.ndarray, seen: np.ndarray, n: int) -> np.ndarray:
+    """Features that get a weight, by place; ``row`` and ``col`` say which text has which.
+
+    The chance that as many of a feature's texts lie at or below a grade is bounded by exp(-texts * divergence).
+    """
+    chance, z = np.zeros(len(seen)), np.zeros(len(seen))
+    for k in range(n_grades - 1):
+        low = (grades <= k).astype(float)
+        p = low.mean() if n else 0.0
+        if not 0 < p < 1:
+            continue
+        hits = np.bincount(col, low[row], len(seen))
+        share = hits / seen
+        with np.errstate(divide="ignore", invalid="ignore"):
+            off = np.where(share > 0, share * np.log(share / p), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - p)), 0)
+        chance = np.minimum(chance, -seen * off)
+        z = np.maximum(z, np.abs(hits - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p) * (1 - seen / n), 1e-3)))
+    chance = chance + np.log(2 * max(1, n_grades - 1))  # either side of each cut
+    often = np.flatnonzero(seen >= 2)
+    ordered = np.sort(chance[often])
+    passed = np.flatnonzero(ordered <= np.log(FALSE_SHARE * np.arange(1, len(ordered) + 1) / max(1, len(ordered))))
+    clear = often[chance[often] <= ordered[passed[-1]]] if len(passed) else often[:0]
+    return np.sort(clear[np.argsort(-z[clear], kind="stable")[: min(MAX_FEATURES, max(1, n // TEXTS_A_FEATURE))]])
+
+
 def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 1e-3, steps: int = 800, rate: float = 0.1) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty on the shared weights, by Adam on all rows at a time.
 
@@ -70,14 +96,7 @@ def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: fl
     flat = np.concatenate([np.zeros(0, np.uint32), *rows])
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     found, col, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    z = np.zeros(len(found))
-    for k in range(n_grades - 1):
-        low = (grades <= k).astype(float)
-        p = low.mean() if len(low) else 0.0
-        excess = np.bincount(col, low[row] - p, len(found))
-        z = np.maximum(z, np.abs(excess) / np.sqrt(np.maximum(seen * p * (1 - p) * (1 - seen / max(1, len(rows))), 1e-3)))
-    keep = np.flatnonzero((seen >= MIN_ROWS) & (z >= MIN_Z))
-    keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:MAX_FEATURES]])
+    keep = _telling(np.array(grades), n_grades, row, col, seen, len(rows))
     keys = found[keep]
     if len(np.unique(grades)) < 2:
         only = int(grades[0]) if len(grades) else n_grades - 1
@@ -168,22 +187,25 @@ def _word_cache(known: dict[int, float]) -> _Weights:
 def score(df: DataFrame, model: OrdinalModel, text_col: str = "text", least_grade: int | None = None) -> DataFrame:
     """``df`` with expected_grade and tail_probability = P(grade >= least_grade), the highest grade by default.
 
-    Every row comes back once, with all its columns; columns of those two names are replaced. Texts are read whole;
-    null is scored like an empty text.
+    Every row, repeated ones too, comes back once, with all its columns; columns of those two names are replaced. Texts
+    are read whole; null is scored like an empty text. An empty table gives none.
     """
     top = len(model.cuts)
     at = top if least_grade is None else least_grade
-    wide = df.withColumn("__latent", latent(model, F.col(text_col).cast("string")))
-    above = [1 - 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("__latent") - F.lit(c))))) for c in model.cuts]
+    own = free_name(df, "latent")
+    wide = df.withColumn(own, latent(model, F.col(text_col).cast("string")))
+    above = [1 - 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col(own) - F.lit(c))))) for c in model.cuts]
     expected = sum(above[1:], above[0])
     tail = above[at - 1] if at else F.lit(1.0)
-    return wide.withColumns({"expected_grade": expected, "tail_probability": tail}).drop("__latent")
+    return wide.withColumns({"expected_grade": expected, "tail_probability": tail}).drop(own)
 
 
 def graded(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> OrdinalModel:
     """Fit grades 0 (low quality), 1 (good but toxic) and 2 (good) on labelled documents.
 
-    Documents are found by a broadcast of the chosen labels, at most ``max_rows`` rows of three numbers.
+    Documents are found by a broadcast of the chosen labels, at most ``max_rows`` rows of three numbers. A document with
+    several labels counts by the worst; labels with a null, or without a document with a text, don't count. Without
+    labels every text gets the highest grade.
     """
     chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("__id"), F.when(F.col("q") == 0, 0).when(F.col("x") == 1, 1).otherwise(2).alias("__grade"))
