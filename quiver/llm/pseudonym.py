@@ -4,6 +4,11 @@ Each validated value is a number below a bound that its format sets. A keyed Fei
 that bound, so a pseudonym is valid in the same format, equal values get equal pseudonyms in every document, different
 ones different pseudonyms, and the key's owner can restore them. Mail names and secrets, which are neither numbers nor
 dates, get keyed aliases of their own shape instead; these aren't restored.
+
+Valid means: a card's Luhn sum, an account number's check digits, a calendar day of 1800 to 2199, an area, group and serial
+that social security numbers have, four numbers below 256. A ten-digit phone number's area and exchange start with 2 to 9;
+one that +1 or brackets mark as a phone number is changed even where they don't, and then among such numbers. Left as they
+are: bare runs of ten digits, and four numbers that are told to be a version.
 """
 
 from __future__ import annotations
@@ -18,18 +23,21 @@ ROUNDS = 10
 PATTERNS = {
     "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "aws": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|token|secret|api_?key)(?: ?[=:] ?\"?)(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}+",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|token|secret|api_?key)(?: ?[=:] ?\"?(?=[A-Za-z_+/-]*[0-9])|=| ?[=:] ?\")[A-Za-z0-9_+/-]{8,}+",
+    "token": r"(?<![A-Za-z0-9_])(?:[spr]k_(?:live|test)_[A-Za-z0-9]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "abroad": r"(?<![\p{L}\p{N}+])\+[1-9](?:[ .-]?[0-9]){8,14}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![\p{L}0-9])(?<![0-9][.,-])(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})(?![0-9])",
-    "ip": r"(?<![\p{L}0-9])(?<![0-9][.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
+    "ip": r"(?<![\p{L}0-9])(?<![0-9][.])(?<!(?i:version|release|build|ver\.?) )(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "iso": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "us": r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
     "eu": r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9.])",
 }
 ANY = "|".join(PATTERNS.values())
 #: No find is without one of these; most texts have none and aren't searched further.
-HINT = "[0-9@]|A[KS]IA"
+HINT = '[0-9@=]|: ?"|A[KS]IA|_(live|test)_|gh[pousr]_|xox[abprs]-'
 _DATES = {"iso": "yyyy-MM-dd", "us": "MM/dd/yyyy", "eu": "dd.MM.yyyy"}
 
 
@@ -85,12 +93,46 @@ def _card(key: str, back: bool) -> str:
 
 
 def _phone(key: str, back: bool) -> str:
+    """Area and exchange keep the side of 200 that they are on, so valid numbers stay valid; unmarked ones must be valid."""
     lead = "length(d) - 10"
-    mixed = _feistel("phone", f"cast(substr(d, {lead} + 1, 5) as bigint)", "100000", f"cast(substr(d, {lead} + 6, 5) as bigint)", "100000", key, back)
-    whole = _let(mixed, "f", f"concat(substr(d, 1, {lead}), {_pad('f.a', '5')}, {_pad('f.b', '5')})")
+    area, exchange, line = (f"cast(substr(d, {lead} + {at}, {n}) as bigint)" for at, n in ((1, 3), (4, 3), (7, 4)))
+    low, bound = "if({0} < 200, 0, 200)", "if({0} < 200, 200, 800)"
+    mixed = _feistel("phone", f"{area} - {low.format(area)}", bound.format(area), f"({exchange} - {low.format(exchange)}) * 10000 + {line}", f"{bound.format(exchange)} * 10000", key, back)
+    whole = _let(mixed, "f", f"concat(substr(d, 1, {lead}), {_pad(f'f.a + {low.format(area)}', '3')}, {_pad(f'f.b div 10000 + {low.format(exchange)}', '3')}, {_pad('f.b % 10000', '4')})")
+    known = f"x rlike '^[+(]' or {area} >= 200 and {exchange} >= 200"
+    return _let(_digits("x"), "d", f"if({known}, {_let(whole, 'z', _fill('x', 'z'))}, x)")
+
+
+def _halves(kind: str, rest: str, key: str, back: bool) -> str:
+    """A string of 2 to 30 digits, permuted among those of its length."""
+    half = f"cast(length({rest}) div 2 as int)"
+    left, right = f"cast(substr({rest}, 1, {half}) as bigint)", f"cast(substr({rest}, 1 + {half}) as bigint)"
+    mixed = _feistel(kind, left, f"cast(pow(10, {half}) as bigint)", right, f"cast(pow(10, length({rest}) - {half}) as bigint)", key, back)
+    return _let(mixed, "f", f"concat({_pad('f.a', half)}, {_pad('f.b', f'length({rest}) - {half}')})")
+
+
+def _abroad(key: str, back: bool) -> str:
+    """The country's code stays: up to three digits before the first separator, else one (1 and 7) or two."""
+    apart = "regexp_extract(x, '^[+]([0-9]{1,3})[ .-]', 1)"
+    lead = f"if({apart} <> '', {apart}, substr(d, 1, if(substr(d, 1, 1) in ('1', '7'), 1, 2)))"
+    whole = _let(lead, "c", _let("substr(d, length(c) + 1)", "r", f"concat(c, {_halves('abroad', 'r', key, back)})"))
     return _let(_digits("x"), "d", _let(whole, "z", _fill("x", "z")))
 
 
+def _mod97(x: str) -> str:
+    """Remainder by 97 of a string of digits and letters, letters as 10 to 35."""
+    return f"aggregate(split({x}, ''), 0, (t, c) -> if(c between '0' and '9', t * 10 + ascii(c) - 48, t * 100 + ascii(c) - 55) % 97)"
+
+
+def _iban(key: str, back: bool) -> str:
+    """Country and letters stay; the other digits are permuted, and the check digits, 02 to 98, follow from them."""
+    valid = f"length(v) between 15 and 34 and length(r) > 1 and substr(v, 3, 2) between '02' and '98' and {_mod97('concat(substr(v, 5), substr(v, 1, 4))')} = 1"
+    moved = "concat(substr(w, 5), substr(w, 1, 2), '00')"
+    check = _pad(f"98 - {_mod97(moved)}", "2")
+    whole = _let(_halves("iban", "r", key, back), "y", _let(_fill("v", "concat('00', y)"), "w", _let(f"concat({check}, y)", "z", _fill("x", "z"))))
+    return _let("replace(x, ' ', '')", "v", _let("substr(regexp_replace(v, '[^0-9]', ''), 3)", "r", f"if({valid}, {whole}, x)"))
+
+
 def _ssn(key: str, back: bool) -> str:
     """Areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999; others aren't valid and stay."""
     area, group, serial = (f"cast(substr(x, {at}, {n}) as int)" for at, n in ((1, 3), (5, 2), (8, 4)))
@@ -131,14 +173,20 @@ def _secret(key: str) -> str:
     return _let(value, "v", f"concat(substr(x, 1, length(x) - length(v)), {_alias('secret', 'v', 'greatest(16, length(v))', key, '0123456789abcdef')})")
 
 
+def _token(key: str) -> str:
+    """The marker up to the last _ or - near the start, which tells whose token it is, stays."""
+    lead = "regexp_extract(x, '^([spr]k_(live|test)_|gh[pousr]_|xox[abprs]-)', 1)"
+    return _let(lead, "c", f"concat(c, {_alias('token', 'x', 'length(x) - length(c)', key, '0123456789abcdef')})")
+
+
 def pseudonym(kind: str, key: str, back: bool = False) -> str:
     """SQL for the pseudonym of the find ``x``; a find that isn't valid in its format stays as it is."""
     if kind in _DATES:
         return _date(kind, key, back)
-    if kind in ("mail", "aws", "secret"):
-        made = {"mail": _mail(key), "aws": f"concat(substr(x, 1, 4), {_alias('aws', 'x', '16', key, 'ABCDEFGHJKMNPQRS')})", "secret": _secret(key)}[kind]
+    if kind in ("mail", "aws", "secret", "token"):
+        made = {"mail": _mail(key), "aws": f"concat(substr(x, 1, 4), {_alias('aws', 'x', '16', key, 'ABCDEFGHJKMNPQRS')})", "secret": _secret(key), "token": _token(key)}[kind]
         return "x" if back else made
-    return {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip}[kind](key, back)
+    return {"card": _card, "phone": _phone, "abroad": _abroad, "iban": _iban, "ssn": _ssn, "ip": _ip}[kind](key, back)
 
 
 def _finds(text: str) -> str:
@@ -149,6 +197,7 @@ def _replaced(text: str, key: str, back: bool) -> str:
     # Patterns look around, so a find alone can't be matched again by its own pattern: bare forms tell the kinds apart.
     bare = {
         "mail": "x like '%@%'", "aws": "x rlike '^A[KS]IA[A-Z0-9]{16}$'", "ssn": "x rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", "phone": "x rlike '^([+]1[ .-]?)?([(][0-9]{3}[)] ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$'",
+        "abroad": "x rlike '^[+]'", "token": "x rlike '^([spr]k_(live|test)_|gh[pousr]_|xox[abprs]-)'", "iban": "x rlike '^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$'",
         "iso": "x rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'", "us": "x rlike '^[0-9]{2}/[0-9]{2}/[0-9]{4}$'", "eu": "x rlike '^[0-9]{2}[.][0-9]{2}[.][0-9]{4}$'", "ip": "x rlike '^([0-9]{1,3}[.]){3}[0-9]{1,3}$'", "card": "x rlike '^[0-9][0-9 -]+$'",
     }
     cases = " ".join(f"when {test} then {pseudonym(kind, key, back)}" for kind, test in bare.items())
@@ -162,7 +211,8 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", restore: bool
 
     Every row and column stays, in whole texts; null stays null, a text without a find stays as it is. ``count_col``
     gets the number of finds (replacing a column of that name). There is no shuffle: equal values agree since they are
-    permuted alike wherever they stand.
+    permuted alike wherever they stand. Repeated rows change alike, an empty table gives none, and other columns stay
+    whatever their names.
     """
     text = f"`{text_col}`"
     hint = F.col(text_col).rlike(HINT)

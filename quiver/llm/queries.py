@@ -50,13 +50,18 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(spark, docs, sf_dir).select("doc_id", "expected_grade", "tail_probability", "kept")
 
 
-#: Stands for a secret that a deployment takes from its own store.
-PSEUDONYM_KEY = "example key"
+#: The session's setting that holds the key of pseudonyms, and the key of sessions that set none, which hides nothing.
+KEY_SETTING = "spark.quiver.pseudonymKey"
+EXAMPLE_KEY = "example key"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, EXAMPLE_KEY)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonym.pseudonymize(docs, PSEUDONYM_KEY, "text", count_col="n_finds")
+    return pseudonym.pseudonymize(docs, pseudonym_key(spark), "text", count_col="n_finds")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
