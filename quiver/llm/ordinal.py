@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import free_name, per_batch
+from quiver.llm.common import free_name
 
-#: Labelled rows that the fit reads at most, and hashed features that get a weight at most: both bound the driver.
+#: Labelled rows that the fit reads at most, and hashed features that get a weight at most: both bound the task that fits.
 MAX_ROWS = 8000
 MAX_FEATURES = 200_000
 #: A feature may get a weight if its share among the texts at or below some grade differs from that of all: so many of
@@ -131,18 +132,34 @@ def fit(labelled: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id
     """Fit on rows of ``labelled`` with a text and a grade in 0..n_grades-1; others are ignored.
 
     At most ``max_rows`` rows are read, those of least id hash, so the choice doesn't depend on order or partitions.
-    Only their feature hashes reach the driver.
+    They are one task's, which fits as well: only the weights, cuts and their number reach the driver.
     """
     src = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), grade.cast("int").alias("grade"))
     src = src.where(F.col("text").isNotNull() & F.col("grade").between(0, n_grades - 1))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(np.fromiter(map(hashed, features(t.as_py())), np.uint32)).tobytes() for t in batch.column(1)]
-        return pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), batch.column(2)], names=["f", "grade"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            rows += ((np.unique(np.fromiter(map(hashed, features(t.as_py())), np.uint32)).tobytes(), g) for t, g in zip(batch.column(1), batch.column(2).to_pylist(), strict=True))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in _parts(_fit_rows(rows, n_grades))], names=["keys", "weights", "cuts"])
 
-    rows = src.orderBy(F.xxhash64("id"), "id", "grade", F.xxhash64("text")).limit(max_rows).mapInArrow(per_batch(run), "f binary, grade int").collect()
-    rows.sort(key=lambda r: (bytes(r.f), r.grade))
-    return fit_arrays([np.frombuffer(r.f, np.uint32) for r in rows], np.array([r.grade for r in rows], np.int64), n_grades)
+    chosen = src.orderBy(F.xxhash64("id"), "id", "grade", F.xxhash64("text")).limit(max_rows).coalesce(1)
+    found = chosen.mapInArrow(run, "keys binary, weights binary, cuts binary").collect()
+    if not found:
+        return _fit_rows([], n_grades)
+    keys, weights, cuts = (np.frombuffer(x, t) for x, t in zip(found[0], (np.uint32, np.float64, np.float64), strict=True))
+    return OrdinalModel(keys, weights, tuple(cuts.tolist()))
+
+
+def _fit_rows(rows: list[tuple[bytes, int]], n_grades: int) -> OrdinalModel:
+    """Fit on rows of feature hashes and grade, in an order of their own."""
+    rows = sorted(rows)
+    return fit_arrays([np.frombuffer(f, np.uint32) for f, _ in rows], np.array([g for _, g in rows], np.int64), n_grades)
+
+
+def _parts(model: OrdinalModel) -> tuple[np.ndarray, ...]:
+    return model.keys.astype(np.uint32), model.weights.astype(np.float64), np.array(model.cuts, np.float64)
 
 
 def latent(model: OrdinalModel, text: Column) -> Column:

@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import zlib
 
@@ -79,3 +80,13 @@ def test_odd_rows(spark):
     assert O.score(df.limit(0), none).count() == 0 and O.score(df, none).columns == ["doc_id", "text", "expected_grade", "tail_probability"]
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 0, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
     assert O.score(df, O.graded(df, labels)).count() == 5
+
+
+def test_the_fit_runs_in_a_task(spark, monkeypatch):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    here, calls = O.fit_arrays, []
+    monkeypatch.setattr(O, "fit_arrays", lambda *a: calls.append(len(a[0])) or here(*a))
+    model = O.graded(docs, labels)
+    assert not calls  # the driver's memory holds neither the features nor the fit
+    assert len(model.keys) and model.keys.dtype == np.uint32 and list(model.cuts) == sorted(model.cuts)
+    assert len(O.graded(docs, labels.limit(0)).keys) == 0 and calls == [0]
